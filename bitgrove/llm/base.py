@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -61,8 +60,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+_ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_()}
+
+
 def arrow_schema(schema: str) -> pa.Schema:
-    return to_arrow_schema(T._parse_datatype_string(schema))
+    """The Arrow form of a flat DDL string; workers have no session that could parse it."""
+    fields = [f.split() for f in schema.split(",")]
+    return pa.schema([(n, pa.list_(_ARROW[t[6:-1]]) if t.startswith("array<") else _ARROW[t]) for n, t in fields])
 
 
 def spread(rows: DataFrame, key: str, ident: str, cap: int) -> DataFrame:

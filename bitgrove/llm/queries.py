@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, simhash
 
 QUERIES = {
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op7_bpe": bpe.op7_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 
