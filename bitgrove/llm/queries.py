@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash
+from . import bpe, exact_dedup, license_scan, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op10_license_scan": license_scan.op10_license_scan,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
