@@ -25,10 +25,14 @@ def _slot(*key: Column) -> Column:
 
 def repeated_keys_bitmap(rows: DataFrame, *key: str) -> Column:
     """A scalar subquery: array<bigint> with a bit set for every key that has two rows or more."""
-    again = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    slots = again.select(_slot(*map(F.col, key)).alias("_s"))
+    return keys_bitmap(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), *key)
+
+
+def keys_bitmap(keys: DataFrame, *key: str) -> Column:
+    """A scalar subquery: array<bigint> of BITMAP_BITS bits with the bit of every key set."""
+    slots = keys.select(_slot(*map(F.col, key)).alias("_s"))
     words = slots.groupBy(F.shiftright("_s", 6).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_s").bitwiseAND(63).cast("int"))).alias("_b"))
-    every = rows.sparkSession.range(BITMAP_BITS // 64).select(F.col("id").alias("_w"))
+    every = keys.sparkSession.range(BITMAP_BITS // 64).select(F.col("id").alias("_w"))
     dense = every.join(words, "_w", "left").select(F.struct("_w", F.coalesce("_b", F.lit(0)).alias("_b")).alias("_x"))
     return dense.agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["_b"])).scalar()
 

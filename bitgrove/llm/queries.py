@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, simhash, toxicity
+from . import bpe, exact_dedup, license_scan, pii, simhash, toxicity
 
 QUERIES = {
+    "op5_pii": pii.op5_pii,
     "op1_toxicity": toxicity.op1_toxicity,
     "op10_license_scan": license_scan.op10_license_scan,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
