@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +41,20 @@ def printable_bytes() -> dict[str, int]:
 
 
 class _Words(dict):
-    """pre-token -> its ids as little-endian int32 bytes."""
+    """pre-token -> its ids as little-endian int32 bytes. When full it becomes the old generation; what is used again moves back."""
 
     def __init__(self, encode):
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        made = np.array(self.encode(word.encode()), "<i4").tobytes()
+        made = self.old.get(word)
+        if made is None:
+            ids = self.encode(word.encode())
+            made = struct.pack(f"<{len(ids)}i", *ids)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[word] = made
         return made
