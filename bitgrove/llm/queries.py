@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, pii, simhash, toxicity
+from . import bpe, chat_format, exact_dedup, html_extract, license_scan, pii, simhash, toxicity
 
 QUERIES = {
+    "op9_html_extract": html_extract.op9_html_extract,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op5_pii": pii.op5_pii,
     "op1_toxicity": toxicity.op1_toxicity,
     "op10_license_scan": license_scan.op10_license_scan,
