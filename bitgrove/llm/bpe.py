@@ -167,31 +167,32 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def encode(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
-    """(id_col, ids: array<int>) per row of docs, and decoded: string, the ids decoded again, if asked for.
+def encode(docs: DataFrame, source: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_decoded: bool = False) -> DataFrame:
+    """The `keep` columns and ids: array<int> per row of docs, and decoded: string, the ids decoded again, if asked for.
 
     source: content of the tokenizer file (a fixed size; it goes to the workers as a broadcast variable).
     Null text counts as empty and has no ids; repeated rows are encoded each; other columns are ignored.
     """
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>" + ", decoded string" * with_decoded
+    names = [f"k{i}" for i in range(len(keep))]
+    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep)), "ids array<int>"]) + ", decoded string" * with_decoded
     shipped = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(shipped.value)
         shape = arrow_schema(schema)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
             for a, b in _slices(texts):
                 made = [bpe.encode(t) for t in texts[a:b]]
                 offsets = np.append(0, np.cumsum([len(x) // 4 for x in made])).astype(np.int32)
                 flat = np.frombuffer(b"".join(made), "<i4")
-                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+                columns = [*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
                 if with_decoded:
                     columns.append(pa.array([bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in made], pa.string()))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, shape)], schema=shape)
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return map_arrow(src, run, schema).withColumnRenamed("id", id_col)
+    src = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(text_col).cast("string").alias("t"))
+    return map_arrow(src, run, schema).select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "ids", *["decoded"] * with_decoded)
 
 
 def decode(rows: DataFrame, source: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

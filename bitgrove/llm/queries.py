@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, html_extract, license_scan, pii, simhash, toxicity
+from . import bpe, chat_format, embedding_dedup, exact_dedup, html_extract, license_scan, mixing, pii, simhash, toxicity
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
     "op9_html_extract": html_extract.op9_html_extract,
     "op3_chat_format": chat_format.op3_chat_format,

@@ -33,7 +33,7 @@ SEED = 42
 #: Rows of a bucket that one chunk of a hot bucket holds at most, about.
 CELL_ROWS = 512
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_STEP, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shingle_hashes(text: str | None, size: int, distinct: bool = False) -> np.ndarray:
@@ -51,9 +51,9 @@ def widen(hashes: np.ndarray, words: int) -> np.ndarray:
     out = np.empty((len(hashes), words), np.uint64)
     out[:, 0] = hashes
     for k in range(1, words):
-        z = hashes + _MIX[0] * np.uint64(k)
-        z = (z ^ (z >> np.uint64(30))) * _MIX[1]
-        z = (z ^ (z >> np.uint64(27))) * _MIX[2]
+        z = hashes + np.uint64(_STEP * k & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * _MIX1
+        z = (z ^ (z >> np.uint64(27))) * _MIX2
         out[:, k] = z ^ (z >> np.uint64(31))
     return out
 
