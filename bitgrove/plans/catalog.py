@@ -1,6 +1,548 @@
-"""Registered queries of the engine and the SQL that must give the same rows."""
+"""Registered queries of the engine and the SQL that must give the same rows.
+
+Each query runs over whole tables. SQL is missing where the result depends on a hash function or an approximate
+search that DuckDB doesn't have; those are covered by tests.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import kernel as K
+from ..functions import text as X
+from ..functions import vectors as V
+from ..operators import bundle as B
+from ..operators import edges as E
+from ..operators import reason as R
+from ..operators import search as S
+from ..sources import store as ST
+from ..streaming import watch as W
+from . import fixtures as T
+from . import sql as Q
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if oracle is not None:
+            ORACLE_SQL[fn.__name__] = oracle
+        return fn
+
+    return add
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two vectors for each customer: of its key and of its nation."""
+    c = T.table(spark, sf, "customer")
+    vec = lambda prefix, key: K.symbol_vector(F.concat(F.lit(prefix), F.col(key).cast("string")), T.NARROW)
+    return c.select("c_custkey", vec("c", "c_custkey").alias("a"), vec("n", "c_nationkey").alias("b"))
+
+
+_A, _B = Q.symbol("'c' || c_custkey::VARCHAR"), Q.symbol("'n' || c_nationkey::VARCHAR")
+_PAIRS = f"p AS (SELECT c_custkey, {_A} AS a, {_B} AS b FROM customer)"
+
+
+# ---- scalar kernel
+@query(f"WITH {_PAIRS} SELECT c_custkey, {Q.joined(Q.bind('a', 'b'))} AS hv FROM p")
+def bind(spark, sf):
+    return _pairs(spark, sf).select("c_custkey", T.joined_words(K.bind("a", "b")).alias("hv"))
+
+
+@query(f"WITH {_PAIRS} SELECT c_custkey, {Q.hamming('a', 'b')} AS distance FROM p")
+def hamming(spark, sf):
+    return _pairs(spark, sf).select("c_custkey", K.hamming("a", "b").alias("distance"))
+
+
+@query(f"WITH {_PAIRS} SELECT c_custkey, {Q.joined(Q.permute('a', 1))} AS hv FROM p")
+def permute1(spark, sf):
+    return _pairs(spark, sf).select("c_custkey", T.joined_words(K.permute("a")).alias("hv"))
+
+
+@query(f"WITH {_PAIRS} SELECT c_custkey, {Q.joined(Q.permute('a', 3))} AS by_3, {Q.joined(Q.permute('a', 64))} AS by_64, {Q.joined(Q.permute('a', 131))} AS by_131 FROM p")
+def permute_n(spark, sf):
+    return _pairs(spark, sf).select("c_custkey", *(T.joined_words(K.permute("a", n)).alias(f"by_{n}") for n in (3, 64, 131)))
+
+
+@query(f"WITH {_PAIRS} SELECT c_custkey, 1.0::DOUBLE - {Q.hamming('a', 'b')} / 256.0::DOUBLE AS similarity FROM p")
+def similarity(spark, sf):
+    return _pairs(spark, sf).select("c_custkey", K.similarity(K.hamming("a", "b"), 256).alias("similarity"))
+
+
+@query("SELECT p_partkey, trunc((1.0::DOUBLE - p_size::DOUBLE / 50.0::DOUBLE) * 10048.0::DOUBLE)::BIGINT AS max_distance FROM part")
+def sim_to_dist(spark, sf):
+    return T.table(spark, sf, "part").select("p_partkey", K.sim_to_dist(F.col("p_size").cast("double") / F.lit(50.0)).alias("max_distance"))
+
+
+@query(f"SELECT p_partkey, {Q.eid('p_name')} AS id FROM part")
+def entity_id(spark, sf):
+    return T.table(spark, sf, "part").select("p_partkey", K.entity_id("p_name").alias("id"))
+
+
+@query(f"SELECT DISTINCT source, {Q.eid(chr(39) + 'REL:' + chr(39) + ' || source')} AS id FROM documents")
+def relation_id(spark, sf):
+    return T.table(spark, sf, "documents").select("source", K.relation_id("source").alias("id")).distinct()
+
+
+@query("SELECT l_orderkey, l_linenumber, xor(xor(l_orderkey, l_partkey), l_suppkey) AS composite_id, xor(xor(xor(xor(l_orderkey, l_partkey), l_suppkey), l_orderkey), l_partkey) AS decoded FROM lineitem")
+def composite_id(spark, sf):
+    made = T.table(spark, sf, "lineitem").withColumn("composite_id", K.composite_id("l_orderkey", "l_partkey", "l_suppkey"))
+    return made.select("l_orderkey", "l_linenumber", "composite_id", K.decode_id("composite_id", "l_orderkey", "l_partkey").alias("decoded"))
+
+
+@query(f"WITH {_PAIRS} SELECT c_custkey, {Q.signed('a[3]')} AS word_2, array_to_string([CASE WHEN i = 2 THEN '-1' ELSE {Q.signed('a[i]')}::VARCHAR END for i in range(1, 5)], ',') AS hv FROM p")
+def word_access(spark, sf):
+    return _pairs(spark, sf).select("c_custkey", K.get_word("a", 2).alias("word_2"), T.joined_words(K.set_word("a", 1, -1)).alias("hv"))
+
+
+@query(f"WITH {_PAIRS} SELECT c_custkey, {Q.joined(Q.bind(Q.permute('a', 1), Q.permute('b', 2)))} AS hv FROM p")
+def typed_edge_vec(spark, sf):
+    return _pairs(spark, sf).select("c_custkey", T.joined_words(K.typed_edge_vector("a", "b")).alias("hv"))
+
+
+@query(f"WITH {_PAIRS} SELECT c_custkey, {Q.joined(Q.bind(Q.bind('a', 'b'), Q.permute('a', 5)))} AS flat, {Q.joined(Q.bind(Q.bind(Q.permute('a', 1), Q.permute('b', 2)), Q.permute('a', 3)))} AS roles FROM p")
+def flat_edge_vec(spark, sf):
+    p = _pairs(spark, sf)
+    return p.select("c_custkey", T.joined_words(K.flat_edge_vector("a", "b", K.permute("a", 5))).alias("flat"), T.joined_words(K.role_edge_vector("a", "b", "a")).alias("roles"))
+
+
+_MIX = "({x}::UHUGEINT * {k}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, o_orderkey::UBIGINT AS z FROM orders), b AS (SELECT o_orderkey, xor(z, z >> 33) AS z FROM a),
+c AS (SELECT o_orderkey, {_MIX.format(x='z', k=0xFF51AFD7ED558CCD)} AS z FROM b), d AS (SELECT o_orderkey, xor(z, z >> 33) AS z FROM c),
+e AS (SELECT o_orderkey, {_MIX.format(x='z', k=0xC4CEB9FE1A85EC53)} AS z FROM d), f AS (SELECT o_orderkey, xor(z, z >> 33) AS z FROM e)
+SELECT o_orderkey, {Q.signed('z')} AS mixed FROM f""")
+def mix_hash64(spark, sf):
+    return T.table(spark, sf, "orders").select("o_orderkey", V.mix_hash64("o_orderkey").alias("mixed"))
+
+
+@query("SELECT vec_id, true AS same, 256::INTEGER AS n_bytes FROM embeddings")
+def float_codec(spark, sf):
+    e = T.table(spark, sf, "embeddings").select("vec_id", "embedding", V.floats_to_bytes("embedding").alias("raw"))
+    return e.select("vec_id", (V.bytes_to_floats("raw") == F.col("embedding")).alias("same"), F.length("raw").alias("n_bytes"))
+
+
+@query("SELECT c_custkey, CASE WHEN s >= 0.9 THEN 'CRITICAL' WHEN s >= 0.75 THEN 'WARNING' WHEN s >= 0.6 THEN 'INFO' END AS severity, trunc((1.0::DOUBLE - s) * 5024.0::DOUBLE)::INTEGER AS approx FROM (SELECT c_custkey, (c_custkey % 101)::DOUBLE / 100.0::DOUBLE AS s FROM customer)")
+def watch_severity(spark, sf):
+    s = (F.col("c_custkey") % 101).cast("double") / F.lit(100.0)
+    return T.table(spark, sf, "customer").select("c_custkey", K.severity(s).alias("severity"), K.approx_hamming(s).alias("approx"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS w FROM e ORDER BY vec_id LIMIT 1)
+SELECT vec_id, round(list_dot_product(v, w), 9) AS dot, round(greatest(0.0, least(1.0, list_dot_product(v, w))), 9) AS clamped, round(sqrt(list_dot_product(v, v)), 9) AS norm,
+round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) AS cosine FROM e, q""")
+def vector_measures(spark, sf):
+    e = T.table(spark, sf, "embeddings")
+    w = e.orderBy("vec_id").limit(1).select("embedding").scalar()
+    with_query = e.select("vec_id", "embedding", w.alias("w"))
+    r = lambda c: F.round(c, 9)
+    return with_query.select("vec_id", r(K.dot("embedding", "w")).alias("dot"), r(K.clamped_dot("embedding", "w")).alias("clamped"), r(K.norm("embedding")).alias("norm"), r(K.cosine("embedding", "w")).alias("cosine"))
+
+
+@query("SELECT vec_id, round((embedding::DOUBLE[])[1] * 3 / sqrt(list_sum([(x * 3) * (x * 3) for x in embedding::DOUBLE[]])), 9) AS first, round(1.0::DOUBLE, 9) AS norm FROM embeddings")
+def l2_normalise(spark, sf):
+    thrice = T.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
+    unit = thrice.select("vec_id", K.l2_normalise("v").alias("u"))
+    return unit.select("vec_id", F.round(F.element_at("u", 1), 9).alias("first"), F.round(K.norm("u"), 9).alias("norm"))
+
+
+@query("SELECT label, d::INTEGER AS d, round(avg(embedding[d + 1]::DOUBLE), 9) AS mean FROM embeddings, range(64) r(d) GROUP BY label, d")
+def mean_pool(spark, sf):
+    pooled = B.mean_pool(T.table(spark, sf, "embeddings"), "label", "embedding")
+    return pooled.select("label", F.posexplode("mean").alias("d", "x")).select("label", "d", F.round("x", 9).alias("mean"))
+
+
+@query(f"WITH {_PAIRS} SELECT c_custkey, {Q.hamming('a', 'b')} AS distance, {Q.joined(Q.permute('a', 1))} AS shifted, {Q.eid(chr(39) + 'x' + chr(39) + ' || c_custkey::VARCHAR')} AS id FROM p")
+def sql_functions(spark, sf):
+    K.register(spark)
+    return _pairs(spark, sf).select("c_custkey", F.expr("hv_hamming(a, b)").alias("distance"), T.joined_words(F.expr("hv_permute(a)")).alias("shifted"), F.expr("hv_entity_id('x' || cast(c_custkey AS string))").alias("id"))
+
+
+# ---- encoding
+@query(f"WITH {Q.CODES} SELECT entity_id, {Q.joined('hv')} AS hv FROM codes")
+def encode_rademacher(spark, sf):
+    return T.codes(spark, sf).select("entity_id", T.joined_words("hv").alias("hv"))
+
+
+@query()
+def encode_gaussian(spark, sf):
+    return T.codes(spark, sf, K.WORDS, "gaussian").select("entity_id", F.size("hv").alias("words"), F.xxhash64("hv").alias("code"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE len(embedding) = 64")
+def dim_check(spark, sf):
+    return T.table(spark, sf, "embeddings").where(F.size("embedding") == 64).select("vec_id")
+
+
+@query("SELECT 54324597403344450::BIGINT AS seed, 64::INTEGER AS dims, 10048::INTEGER AS output_bits")
+def projection_config(spark, sf):
+    c = V.ProjectionConfig(dims=64)
+    return spark.createDataFrame([(c.seed, c.dims, c.bits)], "seed bigint, dims int, output_bits int")
+
+
+# ---- search
+_QUERY = "q AS (SELECT hv AS qv FROM codes ORDER BY entity_id LIMIT 1)"
+_DIST = Q.hamming("hv", "qv")
+
+
+def _first_code(spark, sf) -> tuple[DataFrame, list[int]]:
+    corpus = T.codes(spark, sf)
+    return corpus, list(corpus.orderBy("entity_id").limit(1).first()["hv"])
+
+
+@query(f"WITH {Q.CODES}, {_QUERY} SELECT entity_id, d AS distance, 1.0::DOUBLE - d / 256.0::DOUBLE AS similarity FROM (SELECT entity_id, {_DIST} AS d FROM codes, q) ORDER BY d, entity_id LIMIT 10")
+def search_topk(spark, sf):
+    return S.search(*_first_code(spark, sf), k=10)
+
+
+@query(f"WITH {Q.CODES}, {_QUERY} SELECT * FROM (SELECT entity_id, d AS distance, 1.0::DOUBLE - d / 256.0::DOUBLE AS similarity FROM (SELECT entity_id, {_DIST} AS d FROM codes, q) ORDER BY d, entity_id LIMIT 20) WHERE similarity >= 0.6")
+def search_min_similarity(spark, sf):
+    return S.search(*_first_code(spark, sf), k=20, min_similarity=0.6)
+
+
+@query(f"WITH {Q.CODES}, {_QUERY} SELECT entity_id, d AS distance, 1.0::DOUBLE - d / 256.0::DOUBLE AS similarity FROM (SELECT entity_id, {_DIST} AS d FROM codes, q) WHERE d <= 110")
+def range_search(spark, sf):
+    return S.range_search(*_first_code(spark, sf), 110)
+
+
+_KNN = "SELECT query_id, rank::INTEGER AS rank, entity_id, d AS distance, 1.0::DOUBLE - d / 256.0::DOUBLE AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, entity_id) AS rank FROM ({pairs})) WHERE rank <= {k}"
+
+
+@query(f"WITH {Q.CODES} " + _KNN.format(pairs=f"SELECT q.entity_id AS query_id, c.entity_id, {Q.hamming('q.hv', 'c.hv')} AS d FROM codes q, codes c", k=10))
+def knn_join(spark, sf):
+    corpus = T.codes(spark, sf)
+    return S.knn_join(corpus, corpus.select(F.col("entity_id").alias("query_id"), "hv"), 10)
+
+
+@query()
+def knn_join_full_width(spark, sf):
+    corpus = T.codes(spark, sf, K.WORDS, "gaussian")
+    return S.knn_join(corpus, corpus.select(F.col("entity_id").alias("query_id"), "hv"), 10)
+
+
+@query()
+def ann_join(spark, sf):
+    corpus = T.codes(spark, sf, K.WORDS)
+    return S.ann_join(corpus, corpus.select(F.col("entity_id").alias("query_id"), "hv"), 5)
+
+
+@query()
+def ann_recall(spark, sf):
+    corpus = T.codes(spark, sf, K.WORDS)
+    asked = corpus.select(F.col("entity_id").alias("query_id"), "hv")
+    return S.recall_at(S.ann_join(corpus, asked, 1), S.knn_join(corpus, asked, 1), 1)
+
+
+# ---- bundles
+@query(f"WITH {Q.CODES}, {Q.VOTES} SELECT label, n::BIGINT AS n, {Q.joined('hv')} AS hv FROM votes")
+def bundle(spark, sf):
+    return B.bundle(T.codes(spark, sf), "label").select("label", "n", T.joined_words("hv").alias("hv"))
+
+
+@query(f"WITH {Q.CODES}, {Q.VOTES} SELECT label, n::BIGINT AS n, {Q.joined('hv')} AS hv FROM votes")
+def bundle_by_expressions(spark, sf):
+    return B.bundle_expr(T.codes(spark, sf), "label").select("label", "n", T.joined_words("hv").alias("hv"))
+
+
+@query(f"WITH {Q.CODES}, {Q.VOTES} " + _KNN.format(pairs=f"SELECT v.label::BIGINT AS query_id, c.entity_id, {Q.hamming('v.hv', 'c.hv')} AS d FROM votes v, codes c", k=5))
+def set_query(spark, sf):
+    corpus = T.codes(spark, sf)
+    members = corpus.select(F.col("label").cast("bigint").alias("query_id"), "entity_id")
+    return R.set_query(members, corpus, corpus, 5)
+
+
+@query(f"WITH {Q.CODES}, {Q.VOTES} SELECT entity_id, label, d AS distance, 1.0::DOUBLE - d / 256.0::DOUBLE AS similarity, (row_number() OVER (PARTITION BY entity_id ORDER BY d, label))::INTEGER AS rank FROM (SELECT c.entity_id, v.label, {Q.hamming('v.hv', 'c.hv')} AS d FROM votes v, codes c)")
+def prototype_risk(spark, sf):
+    corpus = T.codes(spark, sf)
+    return R.prototype_scores(corpus.select("label", "entity_id"), corpus)
+
+
+@query(f"WITH {Q.CODES}, {Q.VOTES} SELECT count(*) FILTER (WHERE own = label)::BIGINT AS hits, count(*)::BIGINT AS wanted, count(*) FILTER (WHERE own = label)::DOUBLE / count(*)::DOUBLE AS recall FROM (SELECT c.entity_id, c.label AS own, v.label, row_number() OVER (PARTITION BY c.entity_id ORDER BY {Q.hamming('v.hv', 'c.hv')}, v.label) AS r FROM votes v, codes c) WHERE r = 1")
+def label_recall(spark, sf):
+    corpus = T.codes(spark, sf)
+    scores = R.prototype_scores(corpus.select("label", "entity_id"), corpus)
+    results = scores.select(F.col("entity_id").alias("query_id"), "rank", F.col("label").alias("entity_id"))
+    return S.recall_at(results, corpus.select(F.col("entity_id").alias("query_id"), F.col("label").alias("entity_id")), 1)
+
+
+# ---- symbolic queries
+def _asked(spark, sf) -> DataFrame:
+    k = F.col("n_nationkey").cast("bigint")
+    return T.table(spark, sf, "nation").select(k.alias("query_id"), (k + 100).alias("a"), k.alias("b"), ((k + 1) % 25).alias("c"))
+
+
+@query(f"WITH {Q.CAPS}, x AS (SELECT n_nationkey::BIGINT AS query_id, {Q.bind(Q.bind('a.hv', 'b.hv'), 'c.hv')} AS qv FROM nation JOIN caps a ON a.entity_id = n_nationkey + 100 JOIN caps b ON b.entity_id = n_nationkey JOIN caps c ON c.entity_id = (n_nationkey + 1) % 25) " + _KNN.format(pairs=f"SELECT query_id, entity_id, {_DIST} AS d FROM x, caps", k=3))
+def analogy(spark, sf):
+    entities = T.capitals(spark, sf)
+    return R.analogy(_asked(spark, sf), entities, entities, 3)
+
+
+@query(f"WITH {Q.CAPS}, x AS (SELECT n_nationkey::BIGINT AS query_id, {Q.bind('r.hv', 'o.hv')} AS qv FROM nation JOIN caps r ON r.entity_id = 1000 JOIN caps o ON o.entity_id = n_nationkey) " + _KNN.format(pairs=f"SELECT query_id, entity_id, {_DIST} AS d FROM x, caps", k=3))
+def relation_decode(spark, sf):
+    entities = T.capitals(spark, sf)
+    asked = _asked(spark, sf).select("query_id", F.lit(1000).cast("bigint").alias("relation"), F.col("b").alias("object"))
+    return R.relation_decode(asked, entities, entities, 3)
+
+
+def _capital_edges(spark, sf) -> DataFrame:
+    """capital -> nation for even nations only."""
+    k = F.col("n_nationkey").cast("bigint")
+    return T.table(spark, sf, "nation").where(k % 2 == 0).select((k + 100).alias("subject_id"), F.lit(1000).cast("bigint").alias("relation_id"), k.alias("object_id"), k.alias("seq"))
+
+
+_EDGE_VEC = Q.bind(Q.permute("s.hv", 1), Q.permute("r.hv", 2))
+
+
+@query(f"""WITH {Q.CAPS}, e AS (SELECT n_nationkey::BIGINT + 100 AS subject_id, 1000::BIGINT AS relation_id, n_nationkey::BIGINT AS object_id FROM nation WHERE n_nationkey % 2 = 0),
+corpus AS (SELECT entity_id, hv FROM caps UNION ALL SELECT xor(xor(subject_id, relation_id), object_id), {_EDGE_VEC} FROM e JOIN caps s ON s.entity_id = subject_id JOIN caps r ON r.entity_id = relation_id),
+asked AS (SELECT n_nationkey::BIGINT AS query_id, n_nationkey::BIGINT + 100 AS subject, 1000::BIGINT AS relation FROM nation),
+rest AS (SELECT a.*, {_EDGE_VEC} AS qv FROM asked a JOIN caps s ON s.entity_id = a.subject JOIN caps r ON r.entity_id = a.relation WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.subject_id = a.subject AND e.relation_id = a.relation)),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, entity_id) AS rank FROM (SELECT query_id, subject, relation, entity_id, {_DIST} AS d FROM rest, corpus)) WHERE rank <= 3)
+SELECT query_id, 1::INTEGER AS rank, object_id, 0::BIGINT AS distance, 1.0::DOUBLE AS similarity, true AS exact, NULL::BIGINT AS hit_id, true AS decoded_exists FROM asked JOIN e ON e.subject_id = subject AND e.relation_id = relation
+UNION ALL SELECT query_id, rank::INTEGER, xor(xor(h.entity_id, subject), relation), d, 1.0::DOUBLE - d / 256.0::DOUBLE, false, h.entity_id, xor(xor(h.entity_id, subject), relation) IN (SELECT entity_id FROM caps) FROM hits h""")
+def hop_approx(spark, sf):
+    entities, edges = T.capitals(spark, sf), _capital_edges(spark, sf)
+    stored = E.edge_vectors(edges, entities).select(F.col("composite_id").alias("entity_id"), "hv")
+    asked = _asked(spark, sf).select("query_id", F.col("a").alias("subject"), F.lit(1000).cast("bigint").alias("relation"))
+    return R.typed_relation(asked, edges, entities, entities.unionAll(stored), 3)
+
+
+# ---- edges
+_LATEST = "latest AS (SELECT subject_id, relation_id, arg_max(object_id, seq) AS object_id FROM edges GROUP BY subject_id, relation_id)"
+_STARTS = f"starts AS (SELECT o_orderkey AS query_id, {Q.named('order', 'o_orderkey')} AS entity_id FROM orders)"
+
+
+def _rel(name: str) -> int:
+    return T.relation_value(None, name)
+
+
+@query(f"WITH {Q.EDGES}, {_STARTS}, {_LATEST} SELECT query_id, entity_id AS subject_id, object_id, 0::BIGINT AS distance, 1.0::DOUBLE AS similarity FROM starts JOIN latest ON subject_id = entity_id AND relation_id = {Q.rid('placed_by')}")
+def hop(spark, sf):
+    return E.hop(T.orders_as_starts(spark, sf), T.relation("placed_by"), T.edge_table(spark, sf))
+
+
+@query(f"WITH {Q.EDGES}, {_LATEST}, s AS (SELECT c_custkey AS query_id, {Q.named('customer', 'c_custkey')} AS entity_id FROM customer UNION ALL SELECT -p_partkey, {Q.named('part', 'p_partkey')} FROM part) SELECT query_id, entity_id AS subject_id, object_id, CASE WHEN object_id IS NOT NULL THEN 0::BIGINT END AS distance, CASE WHEN object_id IS NOT NULL THEN 1.0::DOUBLE END AS similarity FROM s LEFT JOIN latest ON subject_id = entity_id AND relation_id = {Q.rid('in_nation')}")
+def hop_misses(spark, sf):
+    known = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), T.named("customer", "c_custkey").alias("entity_id"))
+    unknown = T.table(spark, sf, "part").select((-F.col("p_partkey")).alias("query_id"), T.named("part", "p_partkey").alias("entity_id"))
+    return E.hop(known.unionAll(unknown), T.relation("in_nation"), T.edge_table(spark, sf), keep_misses=True)
+
+
+@query(f"SELECT DISTINCT l_orderkey AS query_id, {Q.named('order', 'l_orderkey')} AS subject_id, {Q.named('part', 'l_partkey')} AS object_id FROM lineitem")
+def multi_hop(spark, sf):
+    items = T.table(spark, sf, "lineitem").select(T.named("order", "l_orderkey").alias("subject_id"), T.relation("contains").alias("relation_id"), T.named("part", "l_partkey").alias("object_id"))
+    return E.multi_hop(T.orders_as_starts(spark, sf), _rel("contains"), items).select("query_id", "subject_id", "object_id")
+
+
+def _chain_sql(*names: str, path: bool = False) -> str:
+    joins = "".join(f" {'LEFT ' if path else ''}JOIN latest l{n} ON l{n}.subject_id = {'s.entity_id' if n == 1 else f'l{n - 1}.object_id'} AND l{n}.relation_id = {Q.rid(name)}" for n, name in enumerate(names, 1))
+    hops = "".join(f"l{n}.object_id AS hop_{n}, " for n in range(1, len(names) + 1)) if path else ""
+    return f"WITH {Q.EDGES}, {_STARTS}, {_LATEST} SELECT query_id, {hops}l{len(names)}.object_id AS entity_id FROM starts s{joins}"
+
+
+@query(_chain_sql("placed_by", "in_nation"))
+def chain2(spark, sf):
+    return E.chain(T.orders_as_starts(spark, sf), [_rel("placed_by"), _rel("in_nation")], T.edge_table(spark, sf))
+
+
+@query(_chain_sql("placed_by", "in_nation", "in_region"))
+def chain3(spark, sf):
+    return E.chain(T.orders_as_starts(spark, sf), [_rel("placed_by"), _rel("in_nation"), _rel("in_region")], T.edge_table(spark, sf))
+
+
+@query(_chain_sql("placed_by", "in_region", "in_nation", path=True))
+def chain_path(spark, sf):
+    return E.chain(T.orders_as_starts(spark, sf), [_rel("placed_by"), _rel("in_region"), _rel("in_nation")], T.edge_table(spark, sf), path=True)
+
+
+@query(f"WITH {Q.EDGES}, {_STARTS}, {_LATEST} SELECT query_id, c.object_id AS entity_id, 3::INTEGER AS depth FROM starts s JOIN latest a ON a.subject_id = s.entity_id AND a.relation_id = {Q.rid('placed_by')} JOIN latest b ON b.subject_id = a.object_id AND b.relation_id = {Q.rid('in_nation')} JOIN latest c ON c.subject_id = b.object_id AND c.relation_id = {Q.rid('in_region')}")
+def chain_recursive(spark, sf):
+    relations = F.array(*(F.lit(_rel(r)).cast("bigint") for r in ("placed_by", "in_nation", "in_region")))
+    return E.chain_recursive(T.orders_as_starts(spark, sf).withColumn("relations", relations), T.edge_table(spark, sf))
+
+
+@query(f"WITH {Q.EDGES}, {_LATEST} SELECT l.query_id, l.entity_id FROM (SELECT DISTINCT o_orderkey AS query_id, n.object_id AS entity_id FROM orders JOIN latest n ON n.subject_id = {Q.named('customer', 'o_custkey')} AND n.relation_id = {Q.rid('in_nation')}) l SEMI JOIN (SELECT DISTINCT l_orderkey AS query_id, n.object_id AS entity_id FROM lineitem JOIN latest n ON n.subject_id = {Q.named('supplier', 'l_suppkey')} AND n.relation_id = {Q.rid('in_nation')}) r USING (query_id, entity_id)")
+def chain_intersection(spark, sf):
+    edges = T.edge_table(spark, sf)
+    buyers = E.chain(T.orders_as_starts(spark, sf), [_rel("placed_by"), _rel("in_nation")], edges)
+    items = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), T.named("supplier", "l_suppkey").alias("entity_id"))
+    return E.chain_intersection(buyers, E.chain(items, [_rel("in_nation")], edges))
+
+
+_LOG = f"log AS (SELECT {Q.named('user', 'user_id')} AS subject_id, {Q.rid('last_event_type')} AS relation_id, {Q.named('type', 'event_type')} AS object_id, event_id AS seq FROM events)"
+
+
+@query(f"WITH {_LOG} SELECT subject_id, relation_id, arg_max(object_id, seq) AS object_id FROM log GROUP BY subject_id, relation_id")
+def edge_lww(spark, sf):
+    return E.latest_edges(T.event_log(spark, sf))
+
+
+@query(f"WITH {_LOG} SELECT xor(subject_id, relation_id) AS edge_key, arg_max(object_id, seq) AS object_id FROM log GROUP BY 1")
+def edge_lww_xor_key(spark, sf):
+    return E.latest_edges(T.event_log(spark, sf), compat_xor_key=True)
+
+
+@query("SELECT user_id AS entity_id, arg_max(event_type = 'error', event_id) AS _gone, max(event_id) AS seq FROM events GROUP BY user_id HAVING NOT arg_max(event_type = 'error', event_id)".replace("arg_max(event_type = 'error', event_id) AS _gone, ", ""))
+def retract_live_view(spark, sf):
+    log = T.table(spark, sf, "events").select(F.col("user_id").alias("entity_id"), F.array("event_id").alias("hv"), F.lit("entity").alias("kind"), (F.col("event_type") == "error").alias("deleted"), F.col("event_id").alias("seq"))
+    return ST.live_view(log).select("entity_id", "seq")
+
+
+@query(f"WITH live AS (SELECT {Q.named('nation', 'n_nationkey')} AS id FROM nation UNION SELECT {Q.named('customer', 'c_custkey')} FROM customer UNION SELECT {Q.rid('in_nation')}), {Q.EDGES} SELECT seq, CASE WHEN subject_id NOT IN (SELECT id FROM live) THEN 'subject' WHEN relation_id NOT IN (SELECT id FROM live) THEN 'relation' WHEN object_id NOT IN (SELECT id FROM live) THEN 'object' ELSE 'valid' END AS missing, count(*)::BIGINT AS n FROM edges GROUP BY 1, 2")
+def referential_check(spark, sf):
+    live = T.table(spark, sf, "nation").select(T.named("nation", "n_nationkey").alias("entity_id")).unionAll(T.table(spark, sf, "customer").select(T.named("customer", "c_custkey"))).unionAll(spark.range(1).select(T.relation("in_nation")))
+    valid, rejected = E.referential_check(T.edge_table(spark, sf), live)
+    both = valid.select("seq", F.lit("valid").alias("missing")).unionAll(rejected.select("seq", "missing"))
+    return both.groupBy("seq", "missing").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS query_id, c_custkey AS entity_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def resolve_missing(spark, sf):
+    buyers = T.table(spark, sf, "orders").select(F.col("o_custkey").alias("entity_id")).distinct()
+    asked = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("asked"))
+    return R.missing(asked, buyers, "asked").select("query_id", F.col("asked").alias("entity_id"))
+
+
+def _uneven(spark, sf) -> DataFrame:
+    """Embeddings some of which are cut short or missing."""
+    e = T.table(spark, sf, "embeddings")
+    v = F.when(F.col("vec_id") % 7 == 3, F.slice("embedding", 1, 10)).when(F.col("vec_id") % 11 == 5, None).otherwise(F.col("embedding"))
+    return e.select(F.col("vec_id").alias("entity_id"), v.alias("embedding"))
+
+
+@query("SELECT vec_id AS entity_id, CASE WHEN vec_id % 7 = 3 THEN 'wrong dimensions: 10' WHEN vec_id % 11 = 5 THEN 'missing embedding' END AS error FROM embeddings")
+def batch_valid_split(spark, sf):
+    good, bad = ST.split_batch(_uneven(spark, sf), 64)
+    return good.select("entity_id", F.lit(None).cast("string").alias("error")).unionAll(bad.select("entity_id", "error"))
+
+
+@query("SELECT count(*) FILTER (WHERE NOT (vec_id % 7 = 3 OR vec_id % 11 = 5))::BIGINT AS succeeded, count(*) FILTER (WHERE vec_id % 7 = 3 OR vec_id % 11 = 5)::BIGINT AS failed, count(*)::BIGINT AS total FROM embeddings")
+def batch_counts(spark, sf):
+    return ST.batch_counts(_uneven(spark, sf), 64)
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS version FROM events")
+def write_versions(spark, sf):
+    return ST.write_versions(T.table(spark, sf, "events").select("event_id", "user_id"), "user_id", "event_id")
+
+
+@query(f"WITH RECURSIVE {Q.EDGES}, {_LATEST}, w(entity_id, depth) AS (SELECT {Q.named('order', 'o_orderkey')}, 0 FROM orders UNION SELECT l.object_id, depth + 1 FROM w JOIN latest l ON l.subject_id = w.entity_id AND l.relation_id IN ({Q.rid('placed_by')}, {Q.rid('in_nation')}, {Q.rid('in_region')}) WHERE depth < 4) SELECT entity_id, min(depth)::INTEGER AS depth FROM w GROUP BY entity_id")
+def frontier_expand(spark, sf):
+    return E.expand(T.orders_as_starts(spark, sf), T.edge_table(spark, sf), [_rel(r) for r in ("placed_by", "in_nation", "in_region")])
+
+
+@query()
+def chain_seeds(spark, sf):
+    items = T.table(spark, sf, "lineitem")
+    both = items.select(F.col("l_orderkey").alias("subject_id"), F.col("l_linenumber").cast("bigint").alias("relation_id"))
+    return E.chain_seeds(both)
+
+
+def _ring(spark, sf) -> DataFrame:
+    """nation k -1-> k+1 and -2-> k+2, around the table; relation 3 leads nowhere."""
+    k = F.col("n_nationkey").cast("bigint")
+    n = T.table(spark, sf, "nation")
+    step = lambda r: n.select(k.alias("subject_id"), F.lit(r).cast("bigint").alias("relation_id"), ((k + r) % 25 if r < 3 else k + 1000).alias("object_id"), k.alias("seq"))
+    return step(1).unionAll(step(2)).unionAll(step(3))
+
+
+@query("SELECT 1::BIGINT AS rel1, 2::BIGINT AS rel2, min(n_nationkey)::BIGINT AS start FROM nation")
+def chain_probe(spark, sf):
+    return E.probe(_ring(spark, sf))
+
+
+@query("SELECT 'entity' AS kind, (SELECT count(*) FROM customer)::BIGINT + (SELECT count(*) FROM nation)::BIGINT AS n UNION ALL SELECT 'typed_edge', count(*)::BIGINT FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def node_counts(spark, sf):
+    ids = T.table(spark, sf, "nation").select(T.named("nation", "n_nationkey").alias("entity_id")).unionAll(T.table(spark, sf, "customer").select(T.named("customer", "c_custkey")))
+    lives = T.edge_table(spark, sf).where(F.col("relation_id") == _rel("in_nation"))
+    kept = E.valid_edges(lives.withColumn("_r", F.col("relation_id")).withColumn("relation_id", F.col("object_id")), ids)
+    return ids.select(F.lit("entity").alias("kind")).unionAll(kept.select(F.lit("typed_edge"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT n_name AS name, {Q.eid('r_name')} AS entity_id FROM nation JOIN region ON n_regionkey = r_regionkey")
+def names_chain(spark, sf):
+    """A hop asked by names: ids are made from them first."""
+    n, r = T.table(spark, sf, "nation"), T.table(spark, sf, "region")
+    edges = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(K.entity_id("n_name").alias("subject_id"), T.relation("in_region").alias("relation_id"), K.entity_id("r_name").alias("object_id"), F.lit(1).alias("seq"))
+    starts = n.select(F.col("n_name").alias("query_id"), K.entity_id("n_name").alias("entity_id"))
+    return E.chain(starts, [_rel("in_region")], edges).select(F.col("query_id").alias("name"), "entity_id")
+
+
+# ---- standing queries
+def _watchpoints(spark, sf) -> DataFrame:
+    """A centroid for each label: the normalised mean."""
+    mean = B.mean_pool(T.table(spark, sf, "embeddings"), "label", "embedding")
+    return mean.select(F.concat(F.lit("w"), F.col("label").cast("string")).alias("watchpoint_id"), F.col("label").cast("string").alias("label"), K.l2_normalise("mean").alias("centroid"), F.lit(0.10).alias("info"), F.lit(0.20).alias("warning"), F.lit(0.30).alias("critical"))
+
+
+def _writes(spark, sf) -> DataFrame:
+    return T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("entity_id"), "embedding")
+
+
+_WATCH = """WITH mean AS (SELECT label, list(x ORDER BY d) AS v FROM (SELECT label, d, avg(embedding[d + 1]::DOUBLE) AS x FROM embeddings, range(64) r(d) GROUP BY label, d) GROUP BY label),
+w AS (SELECT label, [x / sqrt(list_dot_product(v, v)) for x in v] AS c FROM mean),
+s AS (SELECT vec_id, w.label, greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(embedding::DOUBLE[], c))) AS s FROM embeddings, w),
+found AS (SELECT vec_id AS entity_id, 'w' || label::VARCHAR AS watchpoint_id, label::VARCHAR AS label, round(s, 6) AS similarity, CASE WHEN s >= 0.3 THEN 'CRITICAL' WHEN s >= 0.2 THEN 'WARNING' ELSE 'INFO' END AS severity FROM s WHERE s >= 0.1) """
+
+
+@query(_WATCH + "SELECT * FROM found")
+def watch_batch(spark, sf):
+    found = W.check(_writes(spark, sf), _watchpoints(spark, sf))
+    return found.select("entity_id", "watchpoint_id", "label", F.round("similarity", 6).alias("similarity"), "severity")
+
+
+@query(_WATCH + "SELECT watchpoint_id, severity, count(*)::BIGINT AS n FROM found GROUP BY 1, 2")
+def watch_counters(spark, sf):
+    return W.counters(W.check(_writes(spark, sf), _watchpoints(spark, sf)))
+
+
+@query("SELECT s_suppkey, t AS info, t + 0.1::DOUBLE AS warning, t + 0.2::DOUBLE AS critical FROM (SELECT s_suppkey, (s_suppkey % 10)::DOUBLE / 10.0::DOUBLE AS t FROM supplier)")
+def watch_shorthand(spark, sf):
+    t = (F.col("s_suppkey") % 10).cast("double") / F.lit(10.0)
+    return T.table(spark, sf, "supplier").select("s_suppkey", t.alias("info"), (t + F.lit(0.1)).alias("warning"), (t + F.lit(0.2)).alias("critical"))
+
+
+@query("SELECT label, arg_max(vec_id, vec_id) AS last_id FROM embeddings GROUP BY label")
+def watch_register(spark, sf):
+    """The latest registration of each id stays."""
+    e = T.table(spark, sf, "embeddings")
+    return e.groupBy("label").agg(F.max_by("vec_id", "vec_id").alias("last_id"))
+
+
+# ---- text
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[\x00-\x08\x0E-\x1F\x7F]', '', 'g')), '[\x09-\x0D]', ' ', 'g'), '([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])', ' \1 ', 'g'), ' ') AS norm FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+def normalise_text(spark, sf):
+    ascii_only = T.table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return ascii_only.select("doc_id", X.normalise_ascii(F.col("text")).alias("norm"))
+
+
+def _vocab() -> dict[str, int]:
+    """A small vocabulary made by a rule: letters, their continuations, and pairs of them."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pieces = [*letters, *(f"##{c}" for c in letters), *(a + b for a in letters for b in "aeiounrst"), *(f"##{a}{b}" for a in letters for b in "aeiounrst")]
+    return {p: 1000 + k for k, p in enumerate(pieces)}
+
+
+@query()
+def tokenize(spark, sf):
+    made = T.table(spark, sf, "documents").select("doc_id", X.tokenize(_vocab(), spark)(F.col("text")).alias("t"))
+    return made.select("doc_id", F.aggregate("t.attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"), T.joined_words("t.input_ids").alias("input_ids"))
+
+
+@query()
+def sentence_encode(spark, sf):
+    made = T.table(spark, sf, "documents").select("doc_id", X.hashing_encoder(64)(F.col("text")).alias("v"))
+    return made.select("doc_id", F.size("v").alias("dims"), F.round(K.norm("v"), 4).alias("norm"))
+
+
+# ---- sizes of the corpus by kind and how often each id was written
+@query("SELECT user_id AS entity_id, count(*)::BIGINT AS writes, max(event_id) AS last_seq, dense_rank() OVER (ORDER BY count(*) DESC)::INTEGER AS place FROM events GROUP BY user_id")
+def write_activity(spark, sf):
+    own = T.table(spark, sf, "events").groupBy(F.col("user_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("writes"), F.max("event_id").alias("last_seq"))
+    # places go to distinct counts, of which there are few; no window over all rows
+    places = own.select("writes").distinct().withColumn("place", F.dense_rank().over(Window.orderBy(F.desc("writes"))))
+    return own.join(places, "writes").select("entity_id", "writes", "last_seq", "place")
