@@ -13,8 +13,7 @@ kept between passes but those lists, a few numbers each, and a lost task is just
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,32 +25,17 @@ from pyspark.sql import functions as F
 from .base import arrow_schema, map_arrow, materialise, table
 
 #: Labelled rows that the classifier is trained on at most; hashed features.
-LABELLED, DIMS = 3000, 2048
-REMEMBERED = 250_000
+LABELLED, DIMS = 3000, 4096
 RIDGE, TOLERANCE, ITERATIONS = 1e-3, 1e-3, 40
 
 
-def token_features(token: str) -> tuple[int, int, int]:
-    """Hashed: the word, its first three letters, and its shape (case, digits, other signs)."""
-    low = token.lower()
-    shape = ("U" if len(token) > 1 and token.isupper() else "C" if token[:1].isupper() else "l") + "d" * any(map(str.isdigit, token)) + "s" * (not token.strip(".,;:!?").isalnum())
-    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMS for x in ("w" + low, "p" + low[:3], "s" + shape))
-
-
-class _Rows(dict):
-    """token -> row of a growing matrix with the sum of its features' weights; starts over when full."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
-        self.rows = np.zeros((1024, weights.shape[1]))
-
-    def __missing__(self, token: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.weights[list(token_features(token))].sum(axis=0)
-        self[token] = at
-        return at
+def features(text: str | None) -> np.ndarray:
+    """Shares of the hashed byte trigrams of the text; zeros for fewer than three bytes."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    if len(raw) < 3:
+        return np.zeros(DIMS)
+    key = (raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]) * np.uint32(2654435761)
+    return np.bincount(key >> np.uint32(32 - DIMS.bit_length() + 1), minlength=DIMS) / (len(raw) - 2)
 
 
 @dataclass
@@ -60,28 +44,17 @@ class DomainModel:
     weights: np.ndarray
     bias: np.ndarray
 
-    def classify(self, texts: Iterator[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, posteriors) of each text; no tokens: the prior."""
-        rows = self.__dict__.setdefault("_rows", None) or _Rows(self.weights)
-        self._rows = rows
+    def classify(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, posteriors) of each text; no trigrams: the prior."""
         tokens, logits = [], []
         for text in texts:
-            own = (text or "").split()
-            z = self.bias
-            if own:
-                if len(rows) > REMEMBERED:
-                    rows.clear()
-                z = z + rows_mean(rows, own)
-            tokens.append(len(own))
-            logits.append(z)
+            tokens.append(len((text or "").split()))
+            logits.append(features(text) @ self.weights + self.bias)
         z = np.array(logits).reshape(len(tokens), len(self.names))
-        z = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
-        return np.array(tokens, np.int64), z / z.sum(axis=1, keepdims=True) if len(z) else z
-
-
-def rows_mean(rows: _Rows, own: list[str]) -> np.ndarray:
-    at = np.fromiter(map(rows.__getitem__, own), np.int64, len(own))
-    return rows.rows[at].mean(axis=0)
+        if len(z):
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            z /= z.sum(axis=1, keepdims=True)
+        return np.array(tokens, np.int64), z
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +91,10 @@ def train_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             ats, shares = [], []
             for t in batch.column(1):
-                own = (t.as_py() or "").split()
-                counts = np.bincount([f for w in own for f in token_features(w)], minlength=DIMS) / max(1, len(own))
-                at = counts.nonzero()[0]
+                share = features(t.as_py())
+                at = share.nonzero()[0]
                 ats.append(at.tolist())
-                shares.append(counts[at].tolist())
+                shares.append(share[at].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ats, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))], schema=arrow_schema(schema))
 
     found = map_arrow(rows, run, schema).collect()
@@ -155,9 +127,9 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
 
 @dataclass
 class Plan:
-    """What gives the rate of any document: scale of posteriors, step, and the residuals of the iterations."""
+    """What gives the rate of any document: the matrix that posteriors are weighted by, step, and the residuals of the iterations."""
 
-    scale: np.ndarray
+    weight: np.ndarray
     step: float
     ridge: float
     lower: float
@@ -165,7 +137,7 @@ class Plan:
 
     def rates(self, posteriors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rate, extrapolated rate where the next residual is to be taken) after the steps so far."""
-        q = posteriors * self.scale
+        q = posteriors @ self.weight
         r = np.full(len(q), max(1.0, self.lower))
         y, t = r, 1.0
         for e in self.residuals:
@@ -202,7 +174,7 @@ def fit_rates(members: DataFrame, shares: np.ndarray | None = None, temper: floa
 
     sums = _totals(members, first)
     if not len(sums) or not sums[:-1].any():
-        return Plan(np.zeros(1), 0.0, 0.0, lower, []), np.zeros(1), np.zeros(1)
+        return Plan(np.zeros((1, 1)), 0.0, 0.0, lower, []), np.zeros(1), np.zeros(1)
     k = int(round((np.sqrt(4 * (len(sums) - 1) + 1) - 1) / 2))
     present, gram = sums[:k], sums[k : k + k * k].reshape(k, k)
     total = present.sum()
@@ -211,21 +183,22 @@ def fit_rates(members: DataFrame, shares: np.ndarray | None = None, temper: floa
     wanted = want * total
     if keep_all:
         wanted *= (present[wanted > 0] / wanted[wanted > 0]).max()
-    scale = np.where(wanted > 0, np.sqrt(total / np.maximum(wanted, 1e-300)), np.sqrt(k))
-    lipschitz = np.linalg.eigvalsh(gram / total * np.outer(scale, scale))[-1]
-    plan = Plan(scale, 1 / (lipschitz + RIDGE), RIDGE, lower, [])
-    goal = wanted / total * scale
+    root = np.linalg.cholesky(gram / total + 1e-9 * np.eye(k))
+    plan = Plan(np.linalg.inv(root).T, 1 / (1 + RIDGE), RIDGE, lower, [])
+    goal = wanted / total
+    last = None
     for _ in range(ITERATIONS):
         def ahead(n: np.ndarray, p: np.ndarray, plan: Plan = plan) -> np.ndarray:
             r, y = plan.rates(p)
-            return np.concatenate([(n * y) @ (p * plan.scale), (n * r) @ (p * plan.scale)])
+            return np.concatenate([(n * y) @ p, (n * r) @ p])
 
         got = _totals(members, ahead) / total
-        if plan.residuals and np.abs((got[k:] - goal) / np.maximum(goal, 1e-12)).max() < TOLERANCE:
-            break
-        plan.residuals.append(got[:k] - goal)
-        if len(plan.residuals) > 2 and np.abs(plan.residuals[-1] - plan.residuals[-2]).max() < TOLERANCE * 1e-2:
+        off = np.abs(got[k:] / np.maximum(goal, 1e-12) - 1).max()
+        still = last is not None and np.abs(got[k:] - last).max() < TOLERANCE / 10
+        if plan.residuals and (off < TOLERANCE or still):
             break
+        last = got[k:]
+        plan.residuals.append((got[:k] - goal) @ plan.weight)
     return plan, present, wanted
 
 
