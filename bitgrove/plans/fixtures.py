@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import kernel as K
 from ..functions.vectors import ProjectionConfig, encode
+from ..session import ready
 
 #: Width of the vectors in queries that SQL checks; everything else uses the full width.
 NARROW = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def named(prefix: str, key: Column | str) -> Column:
