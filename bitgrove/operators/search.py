@@ -24,6 +24,10 @@ QUERY_BLOCK = 256
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of a corpus that is dealt out evenly before it is searched; a larger one is read where it lies.
+DEAL_ROWS = 200_000
+
+
 def width(df: DataFrame, hv: str = "hv") -> int:
     """Words of the vectors, read from one row; 0 for an empty table."""
     row = df.select(F.size(hv).alias("n")).first()
@@ -117,7 +121,10 @@ def knn_join(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 if batch.num_rows:
                     yield _local_top(q, qid, stack_words(batch.column(1), batch.num_rows), batch.column(0).to_numpy(), k)
 
-        found = corpus.select(F.col("entity_id").cast("long").alias("entity_id"), "hv").mapInArrow(scan, schema)
+        own = corpus.select(F.col("entity_id").cast("long").alias("entity_id"), "hv")
+        if corpus.count() <= DEAL_ROWS:
+            own = own.repartition(spark.sparkContext.defaultParallelism)  # a small corpus may lie in one file
+        found = own.mapInArrow(scan, schema)
         return _rank(found, k, words * 64)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
