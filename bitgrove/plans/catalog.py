@@ -16,6 +16,8 @@ from ..operators import bundle as B
 from ..operators import edges as E
 from ..operators import reason as R
 from ..operators import search as S
+from ..session import scratch
+from ..sources import readers as IO
 from ..sources import store as ST
 from ..streaming import watch as W
 from . import fixtures as T
@@ -546,3 +548,116 @@ def write_activity(spark, sf):
     # places go to distinct counts, of which there are few; no window over all rows
     places = own.select("writes").distinct().withColumn("place", F.dense_rank().over(Window.orderBy(F.desc("writes"))))
     return own.join(places, "writes").select("entity_id", "writes", "last_seq", "place")
+
+
+# ---- files: written to the shared folder in the format that is read, then read back
+@query("SELECT s_suppkey AS subject_id, CASE s_nationkey % 3 WHEN 0 THEN 'officer_of' WHEN 1 THEN 'registered_address' ELSE 'connected_to' END AS relation, s_nationkey::BIGINT AS object_id FROM supplier WHERE s_suppkey % 10 <> 7")
+def read_edge_csv(spark, sf):
+    path = scratch(spark, "edges-csv")
+    kind = F.when(F.col("s_nationkey") % 3 == 0, "Officer Of").when(F.col("s_nationkey") % 3 == 1, "registered-address").otherwise("no such type")
+    start = F.when(F.col("s_suppkey") % 10 == 7, "not a number").otherwise(F.col("s_suppkey").cast("string"))
+    T.table(spark, sf, "supplier").select(F.lit("x").alias("note"), start.alias("node_id_start"), F.col("s_nationkey").alias("node_id_end"), kind.alias("rel_type")).write.csv(path, header=True)
+    return IO.read_edge_csv(spark, path)
+
+
+@query("SELECT c_custkey AS id, c_name || chr(9) || c_mktsegment AS label FROM customer")
+def read_labels_tsv(spark, sf):
+    path = scratch(spark, "labels")
+    T.table(spark, sf, "customer").select(F.concat(F.lit("Q"), F.col("c_custkey").cast("string"), F.lit("\t"), "c_name", F.lit("\t"), "c_mktsegment")).write.text(path)
+    return IO.read_labels_tsv(spark, path)
+
+
+@query("SELECT o_orderkey AS subject_id, o_orderstatus AS property, o_custkey AS object_id FROM orders WHERE o_orderstatus <> 'P'")
+def read_edges_tsv(spark, sf):
+    path = scratch(spark, "edges-tsv")
+    tail = F.when(F.col("o_orderstatus") == "P", "\textra").otherwise("")
+    T.table(spark, sf, "orders").select(F.concat(F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_custkey").cast("string")), tail)).write.text(path)
+    return IO.read_edges_tsv(spark, path)
+
+
+@query("SELECT n_nationkey::BIGINT AS item, n_name AS label, n_regionkey::BIGINT AS target, 'P30' AS property FROM nation")
+def read_bindings(spark, sf):
+    """One saved response per nation, as query services send them."""
+    path = scratch(spark, "bindings")
+    node = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    uri = lambda key: F.concat(F.lit("http://example.org/entity/Q"), F.col(key).cast("string"))
+    row = F.struct(node("uri", uri("n_nationkey")).alias("item"), node("literal", F.col("n_name")).alias("itemLabel"), node("uri", uri("n_regionkey")).alias("target"), node("literal", F.lit("P30")).alias("pi"))
+    body = F.to_json(F.struct(F.struct(F.array(row).alias("bindings")).alias("results")))
+    # a response is a file: as many files as nations
+    T.table(spark, sf, "nation").select(body.alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return IO.read_bindings(spark, f"{path}/*")
+
+
+@query("SELECT user_id AS edge_key, arg_max(event_id, event_id) AS object_id FROM events GROUP BY user_id")
+def replay_log(spark, sf):
+    log = T.table(spark, sf, "events").select(F.col("user_id").alias("edge_key"), F.col("event_id").alias("object_id"), F.col("event_id").alias("seq"))
+    path = scratch(spark, "edge-log")
+    log.write.parquet(path)
+    return IO.replay(spark.read.schema(log.schema).parquet(path))
+
+
+@query("SELECT c_custkey AS start, 1::BIGINT AS rel1, c_nationkey::BIGINT AS rel2 FROM customer ORDER BY c_custkey LIMIT 1000")
+def read_chain_seeds(spark, sf):
+    path = scratch(spark, "seeds")
+    IO.write_chain_seeds(T.table(spark, sf, "customer").select(F.col("c_custkey").alias("start"), F.lit(1).cast("bigint").alias("rel1"), F.col("c_nationkey").cast("bigint").alias("rel2")), path)
+    return IO.read_chain_seeds(spark, path)
+
+
+# ---- the store: writes, tombstones, edges, versions, reopening
+def _store(spark, sf) -> ST.Store:
+    """Embeddings as entities, a relation, an edge from each to its label; then every id ending in 3 is retracted."""
+    store = ST.Store(spark, scratch(spark, "store"), V.ProjectionConfig(dims=64, words=T.NARROW, matrix="rademacher"))
+    e = T.table(spark, sf, "embeddings")
+    store.put_float(e.select(F.col("vec_id").alias("entity_id"), "embedding"))
+    fixed = e.select((F.col("label") + 1_000_000).cast("bigint").alias("entity_id")).distinct().unionAll(spark.range(1).select(F.lit(2_000_000).cast("bigint")))
+    store.put_binary(fixed.select("entity_id", K.symbol_vector("entity_id", T.NARROW).alias("hv")), kind="label")
+    store.put_edges(e.select(F.col("vec_id").alias("subject_id"), F.lit(2_000_000).cast("bigint").alias("relation_id"), (F.col("label") + 1_000_000).cast("bigint").alias("object_id")))
+    store.retract(e.where(F.col("vec_id") % 10 == 3).select(F.col("vec_id").alias("entity_id")))
+    return ST.Store(spark, store.root)
+
+
+@query("SELECT 'entity' AS kind, count(*) FILTER (WHERE vec_id % 10 <> 3)::BIGINT AS n FROM embeddings UNION ALL SELECT 'label', count(DISTINCT label)::BIGINT + 1 FROM embeddings UNION ALL SELECT 'typed_edge', count(*) FILTER (WHERE vec_id % 10 <> 3)::BIGINT FROM embeddings")
+def store_counts(spark, sf):
+    return _store(spark, sf).counts()
+
+
+@query(f"WITH {Q.CODES} SELECT entity_id, {Q.joined('hv')} AS hv FROM codes WHERE entity_id % 10 <> 3")
+def store_live(spark, sf):
+    return _store(spark, sf).entities().where(F.col("kind") == "entity").select("entity_id", T.joined_words("hv").alias("hv"))
+
+
+@query("SELECT 3::INTEGER AS version, count(*)::BIGINT AS n FROM embeddings UNION ALL SELECT 4, count(*) FILTER (WHERE vec_id % 10 <> 3)::BIGINT FROM embeddings")
+def store_versions(spark, sf):
+    store = _store(spark, sf)
+    at = lambda v: store.entities(version=v).where(F.col("kind") == "entity").groupBy(F.lit(v).alias("version")).agg(F.count(F.lit(1)).alias("n"))
+    return at(3).unionAll(at(4))
+
+
+@query("SELECT label, count(*)::BIGINT AS n FROM embeddings GROUP BY label")
+def store_edges(spark, sf):
+    edges = E.latest_edges(_store(spark, sf).edges())
+    return edges.groupBy((F.col("object_id") - 1_000_000).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT true AS alive, 4::INTEGER AS version, 64::INTEGER AS dims, 54324597403344450::BIGINT AS seed, 256::INTEGER AS output_bits, 'rademacher' AS matrix")
+def store_status(spark, sf):
+    return _store(spark, sf).status()
+
+
+# ---- the same check on a stream
+@query(_WATCH + "SELECT entity_id, watchpoint_id, severity FROM found")
+def watch_stream(spark, sf):
+    path, out = scratch(spark, "stream"), scratch(spark, "matches")
+    writes = _writes(spark, sf)
+    writes.repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    found = W.check(stream, _watchpoints(spark, sf)).select("entity_id", "watchpoint_id", "severity")
+    running = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+@query("SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 2 = 0 THEN 2::BIGINT ELSE 1::BIGINT END AS version FROM customer")
+def audit_versions(spark, sf):
+    ids = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"))
+    return ST.audit(ids, ST.audit(ids.where(F.col("entity_id") % 2 == 0))).select("entity_id", "version")

@@ -1,13 +1,17 @@
-"""Makes the package importable in Python workers."""
+"""What a session must offer: the package on the workers' path, and a folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def ready(spark: SparkSession) -> SparkSession:
     """Puts the folder that holds the package on the path of workers that start from now on.
@@ -20,3 +24,32 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may lack it."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/checkpoints/bitgrove"
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def _drop_written() -> None:
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session is over; what is left is only disk space
+            return
+
+
+atexit.register(_drop_written)
