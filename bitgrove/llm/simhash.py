@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 
 from .base import arrow_schema, grouped, map_arrow, materialise, spread, table
 from .components import LINKS, components, forest
-from .exact_dedup import drop_ids
+from .exact_dedup import drop_ids, in_bitmap, keys_bitmap
 
 SEED = 42
 #: Rows of a bucket that one chunk of a hot bucket holds at most, about.
 CELL_ROWS = 512
+#: Rows that a bucket of sampled bits holds on average, about: comparisons are cheap, so few wide keys save shuffling.
+BUCKET_ROWS = 512
+#: Pairs of a document, nearest first, that are verified on either side beside those of the spanning forest.
+NEAREST = 3
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -218,11 +222,19 @@ def pigeonhole_keys(bits: int, radius: int, blocks: int) -> list[list[int]]:
     return [sum((cut[b] for b in chosen), []) for chosen in itertools.combinations(range(blocks), blocks - radius)]
 
 
+def tables_for(bits: int, width: int, differ: float, recall: float) -> int:
+    """Keys of `width` sampled bits that meet a pair with the given recall, over the spread of its number of differing bits (binomial)."""
+    chance = [(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k), math.comb(bits - k, width) / math.comb(bits, width)) for k in range(bits - width + 1)]
+    tables = 1
+    while sum(p * (1 - (1 - q) ** tables) for p, q in chance) < recall:
+        tables += 1
+    return tables
+
+
 def sampled_keys(bits: int, width: int, differ: float, recall: float) -> list[list[int]]:
-    """Bit positions of as many keys of `width` bits as find a pair with a share `differ` of differing bits with the given recall."""
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** width))
+    """Bit positions of as many keys as find a pair with an expected share `differ` of differing bits with the given recall."""
     rng = np.random.default_rng(SEED)
-    return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(tables)]
+    return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(tables_for(bits, width, differ, recall))]
 
 
 def _keyed(fps: DataFrame, keys: list[list[int]], words: int) -> DataFrame:
@@ -247,7 +259,40 @@ def _keyed(fps: DataFrame, keys: list[list[int]], words: int) -> DataFrame:
     return map_arrow(fps.select("node", "fp"), run, schema)
 
 
-def _links(cells: DataFrame, radius: int, words: int) -> DataFrame:
+def closest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (a, b) of a spanning forest that takes the pairs of least d (Boruvka's rounds), and of each node's NEAREST pairs on either side."""
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = inverse[: len(a)], inverse[len(a) :]
+    order = np.lexsort((v, u, d))  # one order of all pairs: no cycles among ties
+    u, v = u[order], v[order]
+    label, taken = np.arange(len(nodes)), np.zeros(len(a), bool)
+    live = np.arange(len(a))
+    while len(live):
+        x, y = label[u[live]], label[v[live]]
+        live = live[x != y]
+        if not len(live):
+            break
+        x, y = label[u[live]], label[v[live]]
+        first = np.full(len(nodes), len(a))
+        np.minimum.at(first, x, live)
+        np.minimum.at(first, y, live)
+        best = np.unique(first[first < len(a)])
+        taken[best] = True
+        lab, low = forest(label[u[best]], label[v[best]])
+        move = np.arange(len(nodes))
+        move[lab] = low
+        label = move[label]
+    # and of every node its few nearest pairs, in case the nearest one turns out to be less similar than it seemed
+    for x in (u, v):
+        sort = np.argsort(x, kind="stable")
+        first = np.append(0, (x[sort][1:] != x[sort][:-1]).nonzero()[0] + 1)
+        place = np.arange(len(sort)) - np.repeat(first, np.diff(np.append(first, len(sort))))
+        taken[sort[place < NEAREST]] = True
+    return order[taken]
+
+
+def _links(cells: DataFrame, radius: int, words: int, closest: bool = False) -> DataFrame:
+    """(a, b): links that join what is within the radius in each cell; closest: pairs as they were compared, the nearest first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = arrow_schema(LINKS)
         for part in grouped(batches, "cell", 1 << 14):
@@ -256,20 +301,52 @@ def _links(cells: DataFrame, radius: int, words: int) -> DataFrame:
             fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(-1, words)
             starts = np.append(0, (cell[1:] != cell[:-1]).nonzero()[0] + 1)
             i, j = near_pairs(fp, starts, radius)
-            a, b = forest(node[i], node[j])
+            if closest and len(i):
+                keep = closest_forest(node[i], node[j], np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1))
+                a, b = np.minimum(node[i], node[j])[keep], np.maximum(node[i], node[j])[keep]
+            else:
+                a, b = forest(node[i], node[j])
             if len(a):
                 yield pa.record_batch([pa.array(a), pa.array(b)], schema=shape)
 
     return map_arrow(cells.select("cell", "node", "fp"), run, LINKS)
 
 
-def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, differ: float | None = None, recall: float = 0.96) -> DataFrame:
+def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, jaccard: float) -> DataFrame:
+    """The links (a, b: ids of docs) whose texts have at least this Jaccard similarity of their sets of word runs, computed in full.
+
+    Only documents with a link are read for their runs: a bitmap of fixed size lets few others through.
+    """
+    links = materialise(links.distinct(), "pairs")
+    nodes = links.select(F.col("a").alias("_n")).unionAll(links.select("b")).distinct()
+    near = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(in_bitmap(keys_bitmap(nodes, "_n"), F.col("id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = arrow_schema("id long, runs array<long>")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                runs = [shingle_hashes(t.as_py(), size, True).view(np.int64) for t in part.column(1)]
+                offsets = np.append(0, np.cumsum([len(x) for x in runs])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(runs)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], schema=shape)
+
+    sets = map_arrow(near, run, "id long, runs array<long>")
+    sets = materialise(sets.join(nodes, F.col("id") == F.col("_n"), "left_semi"), "runs")
+    left = sets.select(F.col("id").alias("_a"), F.col("runs").alias("_ra"))
+    right = sets.select(F.col("id").alias("_b"), F.col("runs").alias("_rb"))
+    both = links.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    scored = both.select("a", "b", F.size(F.array_intersect("_ra", "_rb")).alias("_i"), (F.size("_ra") + F.size("_rb")).alias("_s"))
+    return scored.where(F.col("_i") >= jaccard * (F.col("_s") - F.col("_i"))).select("a", "b")
+
+
+def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, differ: float | None = None, recall: float = 0.95, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id_col, fp, component_id) for rows (id_col, fp): component_id is the smallest id reachable by links of at most `radius` bits.
 
     Rows with one fingerprint are linked. Without `differ` the search is exact (pigeonhole); with it, a pair
     whose share of differing bits is `differ` is met with probability `recall` or more. Key widths follow the
     number of distinct fingerprints, so that buckets keep their size as the input grows; hot buckets are spread
-    over cells. Rows with a null id form the class of the other rows with their fingerprint, or a class with a null id.
+    over cells. verify, if given, gets links (a, b) and gives those that hold. Rows with a null id form the class of the other rows with their fingerprint, or a class with a null id.
     """
     spark = fps.sparkSession
     classes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "classes")
@@ -279,12 +356,13 @@ def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, diffe
         blocks = radius + 1 if count < 1 << 22 else radius + 2 if count < 1 << 30 else radius + 3
         keys = pigeonhole_keys(bits, radius, blocks)
     else:
-        keys = sampled_keys(bits, min(48, max(8, round(math.log2(count)) - 4)), differ, recall)
+        keys = sampled_keys(bits, min(48, max(6, round(math.log2(count / BUCKET_ROWS)))), differ, recall)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(alone.repartition(tasks), keys, bits // 64)
-    cells = spread(materialise(keyed, "keyed"), "bucket", "node", CELL_ROWS)
+    cells = spread(materialise(keyed, "keyed"), "bucket", "node", CELL_ROWS if differ is None else 2 * BUCKET_ROWS)
     cells = cells.select("cell", "node", "fp").repartition(tasks, "cell").sortWithinPartitions("cell", "node")
-    labels = components(_links(cells, radius, bits // 64))
+    links = _links(cells, radius, bits // 64, closest=verify is not None)
+    labels = components(verify(links) if verify else links)
     found = classes.join(labels, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id"))
     found = materialise(found, "found")
     return fps.join(found, fps["fp"] == found["_fp"], "left").select(id_col, "fp", "component_id")
@@ -308,18 +386,19 @@ def _hex64(col: str):
 
 
 #: The pipeline's setting: 256 bits over distinct runs of five words. At Jaccard similarity J the share of
-#: differing bits is arccos(2J/(1+J))/pi for sets of like size: 0.151 at 0.8. The radius stands one
-#: deviation above that, so that pairs at 0.8 are rarely missed.
-NEAR_BITS, NEAR_SIZE, NEAR_DIFFER, NEAR_RADIUS = 256, 5, 0.151, 44
+#: differing bits is arccos(2J/(1+J))/pi for sets of like size: 0.151 at 0.8. The radius stands 1.6
+#: deviations above that, so that pairs at 0.8 are rarely missed; the similarity of the nearest pairs is then computed.
+NEAR_BITS, NEAR_SIZE, NEAR_DIFFER, NEAR_RADIUS, NEAR_JACCARD = 256, 5, 0.151, 48, 0.8
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each near-duplicate group (the smallest id); columns stay as they are.
 
-    Five-word shingles, similarity 0.8. Rows with a null id stay. Documents without words are duplicates of each other.
+    Five-word shingles, Jaccard similarity of 0.8 or more. Rows with a null id stay. Documents without words are duplicates
+    of each other. Ids must be of type long and unique or null.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, NEAR_SIZE, NEAR_BITS, distinct=True), "fps")
-    found = near_classes(fps, id_col, NEAR_RADIUS, NEAR_BITS, NEAR_DIFFER)
+    found = near_classes(fps, id_col, NEAR_RADIUS, NEAR_BITS, NEAR_DIFFER, verify=lambda links: verified(links, docs, id_col, text_col, NEAR_SIZE, NEAR_JACCARD))
     return drop_ids(docs, found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), id_col)
 
 
