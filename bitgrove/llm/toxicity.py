@@ -112,15 +112,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     feats = F.array(word, *(F.when(F.length("w") >= n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in STEMS))
     rows = sample.select("p", F.monotonically_increasing_id().alias("r"), F.explode("words").alias("w"))
     pairs = rows.select("p", F.explode(feats).alias("f"), "r").where("f is not null").distinct()
-    share = pairs.groupBy("f").agg((F.sum("p") / sizes[1]).alias("in_p"), (F.sum(1 - F.col("p")) / sizes[0]).alias("in_u"), F.sum("p").alias("n"))
+    share = materialise(pairs.groupBy("f").agg((F.sum("p") / sizes[1]).alias("in_p"), (F.sum(1 - F.col("p")) / sizes[0]).alias("in_u"), F.sum("p").alias("n")), "share")
     # a feature speaks for the class if positives have it at least twice as often as text at large, by
     # more than three standard deviations of the share that chance would give it; the gain ranks them
     lift = F.col("in_p") - 2 * F.col("in_u")
     chance = F.sqrt((F.col("in_u") + 1 / sizes[1]) / sizes[1])
     chosen = share.where((F.col("n") >= 2) & (lift > 0) & (F.col("in_p") - F.col("in_u") > 3 * chance)).orderBy(F.desc(lift), "f").limit(FEATURES).select("f")
-    names = [r["f"] for r in chosen.collect()]
+    # text at large has a feature at least pi times as often as positives do: an upper bound on pi, should labels be richer
+    spread = 2 * F.sqrt((F.col("in_u") + 1 / sizes[0]) / sizes[0])
+    found = share.join(chosen, "f").select("f", F.when(F.col("n") >= 0.05 * sizes[1], (F.col("in_u") + spread) / F.col("in_p")).alias("bound")).collect()
+    names = sorted(r["f"] for r in found)
     if not names:
         return {}, -2.0
+    prior = max(1e-3, min([prior, *(r["bound"] for r in found if r["bound"] is not None)]))
     number = {f: k for k, f in enumerate(names)}
     sides: dict[int, list[np.ndarray]] = {0: [], 1: []}
     numbers = sample.sparkSession.sparkContext.broadcast(number)
