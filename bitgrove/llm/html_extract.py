@@ -325,8 +325,8 @@ class Boosted:
         return out
 
 
-#: Cost of an OTHER node directly below an ARTICLE node: islands in the article need evidence.
-ISLAND = 3.0
+#: Cost of an OTHER node directly below an ARTICLE node, and of BOTH: islands in the article need evidence.
+ISLAND, MIXED = 3.0, 2.0
 
 
 def decode(parents: list[int], odds: list[float], both: list[float]) -> list[bool]:
@@ -343,7 +343,7 @@ def decode(parents: list[int], odds: list[float], both: list[float]) -> list[boo
         single = math.log1p(math.exp(b))
         inside[i] -= math.log1p(math.exp(-z)) + single
         outside[i] -= math.log1p(math.exp(z)) + single
-        mixed[i] = mixed[i] - math.log1p(math.exp(-b)) if has_kids[i] else -1e9
+        mixed[i] = mixed[i] - math.log1p(math.exp(-b)) - MIXED if has_kids[i] else -1e9
         if (up := parents[i]) >= 0:
             has_kids[up] = True
             inside[up] += max(inside[i], outside[i] - ISLAND)
