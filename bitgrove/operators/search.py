@@ -168,9 +168,12 @@ def band_candidates(corpus: DataFrame, queries: DataFrame, bands: int = 24, bits
 
         return F.explode(F.array(*(F.struct(F.lit(b).alias("band"), value(p).alias("value")) for b, p in enumerate(chosen))))
 
-    left = queries.select("query_id", F.col("hv").alias("q"), keys("hv").alias("k")).select("query_id", "q", "k.band", "k.value")
-    right = corpus.select("entity_id", F.col("hv").alias("e"), keys("hv").alias("k")).select("entity_id", "e", "k.band", "k.value")
-    return left.join(right, ["band", "value"]).dropDuplicates(["query_id", "entity_id"]).select("query_id", "entity_id", "q", "e")
+    # keys and ids only: vectors are fetched once for each pair that is left
+    left = queries.select("query_id", keys("hv").alias("k")).select("query_id", "k.band", "k.value")
+    right = corpus.select("entity_id", keys("hv").alias("k")).select("entity_id", "k.band", "k.value")
+    pairs = left.join(right, ["band", "value"]).select("query_id", "entity_id").distinct()
+    with_query = pairs.join(queries.select("query_id", F.col("hv").alias("q")), "query_id")
+    return with_query.join(corpus.select("entity_id", F.col("hv").alias("e")), "entity_id").select("query_id", "entity_id", "q", "e")
 
 
 def ann_join(corpus: DataFrame, queries: DataFrame, k: int = 10, bands: int = 24, bits: int = 12) -> DataFrame:
