@@ -74,8 +74,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in dropped (one column, named _drop); columns stay as they are."""
-    return docs.join(dropped, docs[id_col] == dropped["_drop"], "left_anti")
+    """docs without the rows whose id is in dropped (one column, named _drop); columns stay as they are, null ids stay.
+
+    Only rows whose id may be in dropped, by a bitmap of fixed size, are shuffled with their texts; the others pass as they are read.
+    """
+    dropped = materialise(dropped, "dropped")
+    suspect = in_bitmap(keys_bitmap(dropped, "_drop"), docs[id_col])
+    asked = docs.where(suspect)
+    return docs.where(~suspect).unionAll(asked.join(dropped, asked[id_col] == dropped["_drop"], "left_anti"))
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
