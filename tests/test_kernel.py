@@ -157,3 +157,8 @@ def test_sql_functions(spark):
     assert "hv_hamming" in names
     row = spark.sql("SELECT hv_hamming(array(1L, 3L), array(0L, 0L)) AS h, hv_permute(array(1L, -9223372036854775808L)) AS p, hv_sim_to_dist(0.9D) AS d, hv_similarity(5024) AS s, hv_bind(array(1L), array(3L)) AS b").first()
     assert (row["h"], row["p"], row["d"], row["s"], row["b"]) == (3, [3, 0], 1004, 0.5, [2])
+
+
+def test_vocabulary_file(spark, tmp_path):
+    (tmp_path / "v.txt").write_text("[PAD]\n\nhello\n##lo\n")
+    assert X.load_vocab(spark, str(tmp_path / "v.txt")) == {"[PAD]": 0, "hello": 2, "##lo": 3}
