@@ -516,10 +516,10 @@ def watch_register(spark, sf):
 
 
 # ---- text
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[\x00-\x08\x0E-\x1F\x7F]', '', 'g')), '[\x09-\x0D]', ' ', 'g'), '([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])', ' \1 ', 'g'), ' ') AS norm FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[\x00-\x08\x0E-\x1F\x7F]', '', 'g')), '[\x09-\x0D]', ' ', 'g'), '([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])', ' \1 ', 'g'), ' ') AS norm FROM documents""")
 def normalise_text(spark, sf):
-    ascii_only = T.table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return ascii_only.select("doc_id", X.normalise_ascii(F.col("text")).alias("norm"))
+    """The rules for ASCII on every text; letters beyond it are lower-cased and otherwise stay."""
+    return T.table(spark, sf, "documents").select("doc_id", X.normalise_ascii(F.col("text")).alias("norm"))
 
 
 def _vocab() -> dict[str, int]:

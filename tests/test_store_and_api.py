@@ -223,3 +223,12 @@ def test_readers(spark, tmp_path):
     seeds = spark.createDataFrame([(3, 1, 2), (1, 1, 2)], "start bigint, rel1 bigint, rel2 bigint")
     IO.write_chain_seeds(seeds, str(tmp_path / "seeds"))
     assert list(map(tuple, IO.read_chain_seeds(spark, str(tmp_path / "seeds"), 1).collect())) == [(1, 1, 2)]
+
+
+def test_names_of_relations(spark):
+    rel = api.for_relations()
+    got = spark.createDataFrame([("capitalOf",)], "n string").select(rel(F.col("n")).alias("id")).first()["id"]
+    assert got == api.local_id("REL:capitalOf")
+    own = api.Client.entity(type("C", (), {"resolver": staticmethod(lambda c: F.length(c).cast("bigint")), "spark": spark})(), "four")
+    assert own == 4
+    assert [tuple(r) for r in IO.relation_rows(spark, {"P17": "country", "P131": "located in"}).collect()] == [("P131", "located in"), ("P17", "country")]
