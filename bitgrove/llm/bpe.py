@@ -26,11 +26,9 @@ from .base import arrow_schema, map_arrow, table
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Remembered pre-tokens and the longest that is remembered: a bound on memory, results don't depend on it.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Rows that are encoded before their result leaves the worker, and their characters at most (one row at least).
 SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
-_NONE = 1 << 62
-_POSITION = (1 << 32) - 1
 
 
 def printable_bytes() -> dict[str, int]:
@@ -84,55 +82,79 @@ class ByteBpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a] << 24 | vocab[b]] = rank
             self.merged.append(vocab[a + b])
+        self.rank_bits = len(self.merged).bit_length()
         self.find = regex.compile(PRETOKENS).findall
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
         self.words = _Words(self.merge)
 
     def merge(self, word: bytes) -> list[int]:
-        ids = [self.byte_id[b] for b in word]
+        """The ids of one pre-token. Updates stop where an inner node keeps its value."""
+        byte_id, get, merged = self.byte_id, self.rank.get, self.merged
+        ids = [byte_id[b] for b in word]
         n = len(ids)
         if n < 2:
             return ids
-        rank = self.rank
+        shift = 13 if n <= 8192 else 32  # short pre-tokens keep rank and position in a small integer
+        none, position = 1 << (self.rank_bits + shift), (1 << shift) - 1
         size = 1 << (n - 2).bit_length()
-        tree = [_NONE] * (2 * size)
+        tree = [none] * (2 * size)
         for i in range(n - 1):
-            r = rank.get(ids[i] << 24 | ids[i + 1])
+            r = get(ids[i] << 24 | ids[i + 1])
             if r is not None:
-                tree[size + i] = r << 32 | i
+                tree[size + i] = r << shift | i
         for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
+            x, y = tree[2 * k], tree[2 * k + 1]
+            tree[k] = x if x < y else y
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (best := tree[1]) != _NONE:
-            i = best & _POSITION
+        while (best := tree[1]) != none:
+            i = best & position
             gone = after[i]
-            ids[i] = self.merged[best >> 32]
+            new = ids[i] = merged[best >> shift]
             ids[gone] = -1
             right = after[i] = after[gone]
-            changed = [(gone, None)] if gone < n - 1 else []
+            left = before[i]
+            value = none
             if right < n:
                 before[right] = i
-                changed.append((i, rank.get(ids[i] << 24 | ids[right])))
-            else:
-                changed.append((i, None))
-            left = before[i]
+                r = get(new << 24 | ids[right])
+                if r is not None:
+                    value = r << shift | i
+                k = size + gone
+                if tree[k] != none:  # the swallowed symbol starts no pair any more
+                    tree[k] = low = none
+                    while k > 1:
+                        other = tree[k ^ 1]
+                        if other < low:
+                            low = other
+                        k >>= 1
+                        if tree[k] == low:
+                            break
+                        tree[k] = low
+            k = size + i
+            tree[k] = low = value
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < low:
+                    low = other
+                k >>= 1
+                if tree[k] == low:
+                    break
+                tree[k] = low
             if left >= 0:
-                changed.append((left, rank.get(ids[left] << 24 | ids[i])))
-            for leaf, r in changed:
-                k = size + leaf
-                value = _NONE if r is None else r << 32 | leaf
-                if tree[k] == value:
-                    continue
-                tree[k] = value
-                while k > 1:
-                    other = tree[k ^ 1]
-                    low = value if value < other else other
-                    k >>= 1
-                    if tree[k] == low:
-                        break
-                    tree[k] = value = low
+                r = get(ids[left] << 24 | new)
+                value = none if r is None else r << shift | left
+                k = size + left
+                if tree[k] != value:
+                    tree[k] = low = value
+                    while k > 1:
+                        other = tree[k ^ 1]
+                        if other < low:
+                            low = other
+                        k >>= 1
+                        if tree[k] == low:
+                            break
+                        tree[k] = low
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
