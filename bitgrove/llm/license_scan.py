@@ -169,10 +169,11 @@ def license_word_counts(docs: DataFrame, text_col: str = "text") -> tuple[dict[s
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_words, places (map label -> array of base starts as two arrays), labels and score.
+    """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score) per row of docs.
 
-    Columns: n_words, n_base, first_word, last_word, base_labels, labels, score. Null text counts as empty: no
-    words, no labels, score 0. Repeated rows are scanned each; other columns are ignored. An empty table gives no rows.
+    Base places are those of BASE_PHRASES; labels holds the base labels and those of verified templates, score the best
+    template's share, or 1 where only base phrases stand. Null text counts as empty: no words, no labels, score 0.
+    Repeated rows are scanned each; other columns are ignored; an empty table gives no rows.
     """
     df, total = license_word_counts(docs, text_col)
     templates, postings = build_index(df, total)
