@@ -136,7 +136,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    raw = F.col(vector_col).cast("array<double>")
+    # single precision stays so until the cosine is computed: half the bytes, the same numbers
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    raw = F.col(vector_col).cast(f"array<{kind}>")
     fit = raw.isNotNull() & (F.size(raw) > 0) & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(raw, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("_id"), F.when(fit, raw).alias("_v"))
     # one representative for each distinct vector
@@ -147,7 +149,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     need = threshold(cosine, PROJECTIONS, WINDOW, COUNT_RECALL)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    keyed_schema = "bucket long, tbl int, node long, copies long, codes array<long>, v array<double>"
+    keyed_schema = f"bucket long, tbl int, node long, copies long, codes array<long>, v array<{kind}>"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = arrow_schema(keyed_schema)
