@@ -10,7 +10,8 @@ Inside a task the rows of many buckets lie side by side as bit planes: plane j h
 word. A comparison XORs planes and adds them into carry-save counters, one bit of the count a plane, so
 64 distances advance with each machine word. Counters start at such a value that the last carry
 appears when the radius is exceeded; blocks with nothing but exceeded lanes are dropped between planes.
-Only a spanning forest of a task's links leaves it, never all pairs of a group.
+Only a spanning forest of a task's links leaves it, never all pairs of a group. Where similarity is to be computed in
+full, the sets of word runs follow the documents to the cells where a pair within the radius is met, and every such pair is compared there.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SEED = 42
 CELL_ROWS = 512
 #: Rows that a bucket of sampled bits holds on average, about: comparisons are cheap, so few wide keys save shuffling.
 BUCKET_ROWS = 512
-#: Pairs of a document, nearest first, that are verified on either side beside those of the spanning forest.
-NEAREST = 3
+#: Rows of whole cells that are compared at a time with their sets of runs, about.
+SET_ROWS = 1024
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -259,40 +260,8 @@ def _keyed(fps: DataFrame, keys: list[list[int]], words: int) -> DataFrame:
     return map_arrow(fps.select("node", "fp"), run, schema)
 
 
-def closest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs (a, b) of a spanning forest that takes the pairs of least d (Boruvka's rounds), and of each node's NEAREST pairs on either side."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = inverse[: len(a)], inverse[len(a) :]
-    order = np.lexsort((v, u, d))  # one order of all pairs: no cycles among ties
-    u, v = u[order], v[order]
-    label, taken = np.arange(len(nodes)), np.zeros(len(a), bool)
-    live = np.arange(len(a))
-    while len(live):
-        x, y = label[u[live]], label[v[live]]
-        live = live[x != y]
-        if not len(live):
-            break
-        x, y = label[u[live]], label[v[live]]
-        first = np.full(len(nodes), len(a))
-        np.minimum.at(first, x, live)
-        np.minimum.at(first, y, live)
-        best = np.unique(first[first < len(a)])
-        taken[best] = True
-        lab, low = forest(label[u[best]], label[v[best]])
-        move = np.arange(len(nodes))
-        move[lab] = low
-        label = move[label]
-    # and of every node its few nearest pairs, in case the nearest one turns out to be less similar than it seemed
-    for x in (u, v):
-        sort = np.argsort(x, kind="stable")
-        first = np.append(0, (x[sort][1:] != x[sort][:-1]).nonzero()[0] + 1)
-        place = np.arange(len(sort)) - np.repeat(first, np.diff(np.append(first, len(sort))))
-        taken[sort[place < NEAREST]] = True
-    return order[taken]
-
-
-def _links(cells: DataFrame, radius: int, words: int, closest: bool = False) -> DataFrame:
-    """(a, b): links that join what is within the radius in each cell; closest: pairs as they were compared, the nearest first."""
+def _links(cells: DataFrame, radius: int, words: int) -> DataFrame:
+    """(a, b): links that join what is within the radius in each cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = arrow_schema(LINKS)
         for part in grouped(batches, "cell", 1 << 14):
@@ -301,25 +270,78 @@ def _links(cells: DataFrame, radius: int, words: int, closest: bool = False) ->
             fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(-1, words)
             starts = np.append(0, (cell[1:] != cell[:-1]).nonzero()[0] + 1)
             i, j = near_pairs(fp, starts, radius)
-            if closest and len(i):
-                keep = closest_forest(node[i], node[j], np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1))
-                a, b = np.minimum(node[i], node[j])[keep], np.maximum(node[i], node[j])[keep]
-            else:
-                a, b = forest(node[i], node[j])
+            a, b = forest(node[i], node[j])
             if len(a):
                 yield pa.record_batch([pa.array(a), pa.array(b)], schema=shape)
 
     return map_arrow(cells.select("cell", "node", "fp"), run, LINKS)
 
 
-def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, jaccard: float) -> DataFrame:
-    """The links (a, b: ids of docs) whose texts have at least this Jaccard similarity of their sets of word runs, computed in full.
-
-    Only documents with a link are read for their runs: a bitmap of fixed size lets few others through.
+def masks_of(keys: list[list[int]], words: int) -> np.ndarray:
+    """A row of `words` 64-bit words for each key, with the bits that it takes."""
+    bits = np.zeros((len(keys), words * 64), np.uint8)
+    for number, positions in enumerate(keys):
+        bits[number, positions] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def first_met(part: pa.Table, radius: int, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of the pairs within the radius in the cells of a table, cell by cell. Each pair comes in one cell of all: the one of
+    the first key that both share, and of their two chunks. part: rows (cell, bucket, chunk, node, fp) in order of cell."""
+    cell, chunk = part.column("cell").to_numpy(), part.column("chunk").to_numpy()
+    number = (part.column("bucket").to_numpy().view(np.uint64) >> np.uint64(56)).astype(np.int64)
+    fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(len(cell), -1)
+    starts = np.append(0, (cell[1:] != cell[:-1]).nonzero()[0] + 1)
+    ends = np.append(starts[1:], len(cell))
+    mixed = np.repeat(np.minimum.reduceat(chunk, starts) != np.maximum.reduceat(chunk, starts), ends - starts)
+    # large cells one by one, small ones together: the pairs of a few hundred thousand rows are never held at once
+    cuts = [0, *((ends[:-1] // CELL_ROWS != ends[1:] // CELL_ROWS).nonzero()[0] + 1).tolist(), len(starts)]
+    for low, high in zip(cuts, cuts[1:]):
+        if low == high:
+            continue
+        base, end = starts[low], ends[high - 1]
+        i, j = near_pairs(fp[base:end], starts[low:high] - base, radius)
+        i, j = i + base, j + base
+        new = ~mixed[i] | (chunk[i] != chunk[j])
+        i, j = i[new], j[new]
+        for at in range(0, len(i), 1 << 17):
+            x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+            for k, mask in enumerate(masks):
+                if not len(x):
+                    break
+                new = (number[x] <= k) | ((fp[x] ^ fp[y]) & mask).any(axis=1)
+                x, y = x[new], y[new]
+            if len(x):
+                yield x, y
+
+
+def similar(i: np.ndarray, j: np.ndarray, values: np.ndarray, offsets: np.ndarray, jaccard: float) -> np.ndarray:
+    """Of pairs (i, j) of sets, which have this Jaccard similarity or more. Set k: distinct values[offsets[k]:offsets[k+1]], small whole numbers."""
+    sizes = np.diff(offsets)
+    held = np.zeros(len(i), bool)
+    able = (np.minimum(sizes[i], sizes[j]) >= jaccard * np.maximum(sizes[i], sizes[j])).nonzero()[0]  # else they can't be
+    able = able[np.argsort(i[able], kind="stable")]
+    marked = np.zeros(int(values.max(initial=0)) + 1, bool)
+    for own in np.split(able, (np.diff(i[able]) != 0).nonzero()[0] + 1):
+        if not len(own):
+            continue
+        mine = values[offsets[i[own[0]]] : offsets[i[own[0]] + 1]]
+        marked[mine] = True
+        for at in range(0, len(own), 256):
+            some = own[at : at + 256]
+            other = j[some]
+            common = np.array([np.count_nonzero(marked[values[offsets[o] : offsets[o + 1]]]) for o in other.tolist()])
+            held[some] = common >= jaccard * (len(mine) + sizes[other] - common)
+        marked[mine] = False
+    return held
+
+
+def run_sets(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame) -> DataFrame:
+    """(id, runs: array<long>): the set of word runs of each document whose id is among nodes (column node, distinct).
+
+    Only such documents are read for their runs: a bitmap of fixed size lets few others through.
     """
-    links = materialise(links.distinct(), "pairs")
-    nodes = links.select(F.col("a").alias("_n")).unionAll(links.select("b")).distinct()
-    near = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(in_bitmap(keys_bitmap(nodes, "_n"), F.col("id")))
+    near = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(in_bitmap(keys_bitmap(nodes, "node"), F.col("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = arrow_schema("id long, runs array<long>")
@@ -332,21 +354,52 @@ def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], schema=shape)
 
     sets = map_arrow(near, run, "id long, runs array<long>")
-    sets = materialise(sets.join(nodes, F.col("id") == F.col("_n"), "left_semi"), "runs")
-    left = sets.select(F.col("id").alias("_a"), F.col("runs").alias("_ra"))
-    right = sets.select(F.col("id").alias("_b"), F.col("runs").alias("_rb"))
-    both = links.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    scored = both.select("a", "b", F.size(F.array_intersect("_ra", "_rb")).alias("_i"), (F.size("_ra") + F.size("_rb")).alias("_s"))
-    return scored.where(F.col("_i") >= jaccard * (F.col("_s") - F.col("_i"))).select("a", "b")
+    return materialise(sets.join(nodes, F.col("id") == F.col("node"), "left_semi"), "runs")
+
 
+def _similar_links(cells: DataFrame, radius: int, masks: np.ndarray, sets: Callable[[DataFrame], DataFrame], jaccard: float) -> DataFrame:
+    """(a, b): links that join what is within the radius in each cell and has this Jaccard similarity of its sets, computed in full for every pair.
 
-def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, differ: float | None = None, recall: float = 0.95, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    First the rows are found that have such a pair; only they go on with their sets.
+    """
+    rows = "cell long, bucket long, chunk int, node long, fp binary"
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = arrow_schema(rows)
+        for part in grouped(batches, "cell", 1 << 12):
+            asked = np.zeros(part.num_rows, bool)
+            for i, j in first_met(part, radius, masks):
+                asked[i] = asked[j] = True
+            for batch in part.filter(pa.array(asked)).to_batches():
+                yield batch.cast(shape)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = arrow_schema(LINKS)
+        for part in grouped(batches, "cell", SET_ROWS):
+            node, runs = part.column("node").to_numpy(), part.column("runs").combine_chunks()
+            runs = runs if isinstance(runs, pa.ListArray) else pa.concat_arrays(runs.chunks)
+            offsets = runs.offsets.to_numpy().astype(np.int64)
+            _, values = np.unique(runs.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)
+            for i, j in first_met(part, radius, masks):
+                good = similar(i, j, values, offsets - offsets[0], jaccard)
+                a, b = forest(node[i[good]], node[j[good]])
+                if len(a):
+                    yield pa.record_batch([pa.array(a), pa.array(b)], schema=shape)
+
+    some = materialise(map_arrow(cells.select("cell", "bucket", "chunk", "node", "fp"), paired, rows), "paired")
+    own = sets(some.select("node").distinct())
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = some.join(own, F.col("node") == F.col("id")).drop("id").repartition(tasks, "cell").sortWithinPartitions("cell", "node")
+    return map_arrow(both, compare, LINKS)
+
+
+def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, differ: float | None = None, recall: float = 0.95, sets: Callable[[DataFrame], DataFrame] | None = None, jaccard: float = 0.0) -> DataFrame:
     """(id_col, fp, component_id) for rows (id_col, fp): component_id is the smallest id reachable by links of at most `radius` bits.
 
     Rows with one fingerprint are linked. Without `differ` the search is exact (pigeonhole); with it, a pair
     whose share of differing bits is `differ` is met with probability `recall` or more. Key widths follow the
     number of distinct fingerprints, so that buckets keep their size as the input grows; hot buckets are spread
-    over cells. verify, if given, gets links (a, b) and gives those that hold. Rows with a null id form the class of the other rows with their fingerprint, or a class with a null id.
+    over cells. sets, if given, gets nodes and gives their sets (id, runs): links are then the pairs met that also have this Jaccard similarity. Rows with a null id form the class of the other rows with their fingerprint, or a class with a null id.
     """
     spark = fps.sparkSession
     classes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "classes")
@@ -360,9 +413,10 @@ def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, diffe
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(alone.repartition(tasks), keys, bits // 64)
     cells = spread(materialise(keyed, "keyed"), "bucket", "node", CELL_ROWS if differ is None else 2 * BUCKET_ROWS)
-    cells = cells.select("cell", "node", "fp").repartition(tasks, "cell").sortWithinPartitions("cell", "node")
-    links = _links(cells, radius, bits // 64, closest=verify is not None)
-    labels = components(verify(links) if verify else links)
+    cells = cells.select("cell", "bucket", "chunk", "node", "fp") if sets else cells.select("cell", "node", "fp")
+    cells = cells.repartition(tasks, "cell").sortWithinPartitions("cell", "node")
+    links = _similar_links(cells, radius, masks_of(keys, bits // 64), sets, jaccard) if sets else _links(cells, radius, bits // 64)
+    labels = components(links)
     found = classes.join(labels, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id"))
     found = materialise(found, "found")
     return fps.join(found, fps["fp"] == found["_fp"], "left").select(id_col, "fp", "component_id")
@@ -398,7 +452,7 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of each other. Ids must be of type long and unique or null.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, NEAR_SIZE, NEAR_BITS, distinct=True), "fps")
-    found = near_classes(fps, id_col, NEAR_RADIUS, NEAR_BITS, NEAR_DIFFER, verify=lambda links: verified(links, docs, id_col, text_col, NEAR_SIZE, NEAR_JACCARD))
+    found = near_classes(fps, id_col, NEAR_RADIUS, NEAR_BITS, NEAR_DIFFER, sets=lambda nodes: run_sets(docs, id_col, text_col, NEAR_SIZE, nodes), jaccard=NEAR_JACCARD)
     return drop_ids(docs, found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), id_col)
 
 

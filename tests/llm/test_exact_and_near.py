@@ -221,6 +221,34 @@ def test_near_dedup_keeps_one_of_each_group_and_leaves_others(spark):
     assert set(range(100, 160)) <= ids and None in ids and len(ids & {160, 161}) == 1
 
 
+def test_near_dedup_finds_copies_among_many_texts_of_one_template(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base = [word() for _ in range(300)]
+    rows = []
+    for _ in range(200):  # two copies share two changes and have three of their own; most others are below 0.8
+        mine = list(base)
+        for at in rng.sample(range(300), 2):
+            mine[at] = word()
+        for _ in range(2):
+            copy = list(mine)
+            for at in rng.sample(range(300), 3):
+                copy[at] = word()
+            rows.append((len(rows), " ".join(copy)))
+    sets = [set(simhash.shingle_hashes(t, 5, True).tolist()) for _, t in rows]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t, 5, True), 256) for _, t in rows]
+    u = Union(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and np.bitwise_count(fps[a] ^ fps[b]).sum() <= simhash.NEAR_RADIUS:
+                u.join(a, b)
+    best = len({u.find(k) for k in range(len(rows))})
+    assert len(rows) - best >= 150
+    kept = {r["doc_id"] for r in simhash.dedup_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {u.find(k) for k in kept} == {u.find(k) for k in range(len(rows))}
+    assert len(kept) - best <= 0.08 * (len(rows) - best)  # the sampled keys miss a few, nothing else does
+
+
 # ---- embeddings
 def plain_embeddings(rows, cosine=0.9):
     unit = {i: np.array(v, float) / np.linalg.norm(v) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
