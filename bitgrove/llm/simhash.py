@@ -440,9 +440,9 @@ def _hex64(col: str):
 
 
 #: The pipeline's setting: 256 bits over distinct runs of five words. At Jaccard similarity J the share of
-#: differing bits is arccos(2J/(1+J))/pi for sets of like size: 0.151 at 0.8. The radius stands 1.6
-#: deviations above that, so that pairs at 0.8 are rarely missed; the similarity of the nearest pairs is then computed.
-NEAR_BITS, NEAR_SIZE, NEAR_DIFFER, NEAR_RADIUS, NEAR_JACCARD = 256, 5, 0.151, 48, 0.8
+#: differing bits is arccos(2J/(1+J))/pi for sets of like size: 0.151 at 0.8. The radius stands 3 deviations above
+#: that, and the keys meet 99.5% of such pairs; the similarity of every pair met is then computed, so neither costs precision.
+NEAR_BITS, NEAR_SIZE, NEAR_DIFFER, NEAR_RADIUS, NEAR_RECALL, NEAR_JACCARD = 256, 5, 0.151, 56, 0.995, 0.8
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,7 +452,7 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of each other. Ids must be of type long and unique or null.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, NEAR_SIZE, NEAR_BITS, distinct=True), "fps")
-    found = near_classes(fps, id_col, NEAR_RADIUS, NEAR_BITS, NEAR_DIFFER, sets=lambda nodes: run_sets(docs, id_col, text_col, NEAR_SIZE, nodes), jaccard=NEAR_JACCARD)
+    found = near_classes(fps, id_col, NEAR_RADIUS, NEAR_BITS, NEAR_DIFFER, NEAR_RECALL, sets=lambda nodes: run_sets(docs, id_col, text_col, NEAR_SIZE, nodes), jaccard=NEAR_JACCARD)
     return drop_ids(docs, found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), id_col)
 
 

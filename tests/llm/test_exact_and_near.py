@@ -249,6 +249,22 @@ def test_near_dedup_finds_copies_among_many_texts_of_one_template(spark):
     assert len(kept) - best <= 0.08 * (len(rows) - best)  # the sampled keys miss a few, nothing else does
 
 
+def test_near_dedup_finds_pairs_just_above_the_similarity(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = []
+    for _ in range(300):
+        text = [word() for _ in range(300)]
+        copy = list(text)
+        for at in (1, *(40 * k + rng.randrange(20, 50) // 10 * 3 for k in range(1, 7))):  # 2 + 6 * 5 of 296 runs
+            copy[at] = word()
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy))]
+    sets = [set(simhash.shingle_hashes(t, 5, True).tolist()) for _, t in rows]
+    assert all(0.8 <= len(a & b) / len(a | b) <= 0.81 for a, b in zip(sets[::2], sets[1::2]))
+    kept = simhash.dedup_near(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert 300 <= kept <= 306
+
+
 # ---- embeddings
 def plain_embeddings(rows, cosine=0.9):
     unit = {i: np.array(v, float) / np.linalg.norm(v) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
