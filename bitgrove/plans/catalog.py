@@ -175,9 +175,12 @@ def encode_gaussian(spark, sf):
     return T.codes(spark, sf, K.WORDS, "gaussian").select("entity_id", F.size("hv").alias("words"), F.xxhash64("hv").alias("code"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE len(embedding) = 64")
+@query("SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND vec_id % 4 <> 0")
 def dim_check(spark, sf):
-    return T.table(spark, sf, "embeddings").where(F.size("embedding") == 64).select("vec_id")
+    """What split_batch lets through when a quarter of the vectors have lost their last component."""
+    rows = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("entity_id"), F.when(F.col("vec_id") % 4 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"))
+    good, _ = ST.split_batch(rows, 64)
+    return good.select(F.col("entity_id").alias("vec_id"))
 
 
 @query("SELECT 54324597403344450::BIGINT AS seed, 64::INTEGER AS dims, 10048::INTEGER AS output_bits")
@@ -234,9 +237,18 @@ def ann_join(spark, sf):
 
 @query()
 def ann_recall(spark, sf):
+    """Share of the five nearest others of every vector that the approximate join finds; a vector's own row doesn't count."""
     corpus = T.codes(spark, sf, K.WORDS)
     asked = corpus.select(F.col("entity_id").alias("query_id"), "hv")
-    return S.recall_at(S.ann_join(corpus, asked, 1), S.knn_join(corpus, asked, 1), 1)
+    other = F.col("query_id") != F.col("entity_id")
+    return S.recall_at(S.ann_join(corpus, asked, 6).where(other), S.knn_join(corpus, asked, 6).where(other), 6)
+
+
+@query()
+def band_join(spark, sf):
+    """Pairs of codes that differ in a seventh of their bits at most (a cosine of 0.9); each code meets itself."""
+    corpus = T.codes(spark, sf, K.WORDS)
+    return S.band_join(corpus, corpus.select(F.col("entity_id").alias("query_id"), "hv"), K.WORDS * 64 // 7)
 
 
 # ---- bundles
@@ -502,17 +514,22 @@ def watch_counters(spark, sf):
     return W.counters(W.check(_writes(spark, sf), _watchpoints(spark, sf)))
 
 
-@query("SELECT s_suppkey, t AS info, t + 0.1::DOUBLE AS warning, t + 0.2::DOUBLE AS critical FROM (SELECT s_suppkey, (s_suppkey % 10)::DOUBLE / 10.0::DOUBLE AS t FROM supplier)")
+@query("SELECT n_nationkey::VARCHAR AS watchpoint_id, t AS info, t + 0.1::DOUBLE AS warning, t + 0.2::DOUBLE AS critical FROM (SELECT n_nationkey, n_nationkey::DOUBLE / 100.0::DOUBLE AS t FROM nation)")
 def watch_shorthand(spark, sf):
-    t = (F.col("s_suppkey") % 10).cast("double") / F.lit(10.0)
-    return T.table(spark, sf, "supplier").select("s_suppkey", t.alias("info"), (t + F.lit(0.1)).alias("warning"), (t + F.lit(0.2)).alias("critical"))
+    """A watchpoint made from one threshold for each nation, as the registry's table holds them."""
+    registry = W.WatchRegistry(spark)
+    for (key,) in T.table(spark, sf, "nation").select("n_nationkey").collect():  # 25 rows
+        registry.register(W.Watchpoint.at(str(key), "nation", (1.0,), key / 100.0))
+    return registry.table().select("watchpoint_id", "info", "warning", "critical")
 
 
-@query("SELECT label, arg_max(vec_id, vec_id) AS last_id FROM embeddings GROUP BY label")
+@query("SELECT 'nation ' || n_regionkey AS watchpoint_id, arg_max(n_name, n_nationkey) AS label FROM nation GROUP BY n_regionkey")
 def watch_register(spark, sf):
-    """The latest registration of each id stays."""
-    e = T.table(spark, sf, "embeddings")
-    return e.groupBy("label").agg(F.max_by("vec_id", "vec_id").alias("last_id"))
+    """The latest registration of each id stays: nations in order of their key, one id for each region."""
+    registry = W.WatchRegistry(spark)
+    for n in T.table(spark, sf, "nation").orderBy("n_nationkey").collect():  # 25 rows
+        registry.register(W.Watchpoint(f"nation {n['n_regionkey']}", n["n_name"], (1.0,)))
+    return registry.table().select("watchpoint_id", "label")
 
 
 # ---- text
@@ -537,8 +554,10 @@ def tokenize(spark, sf):
 
 @query()
 def sentence_encode(spark, sf):
+    """Dims, norm and a digest of the components, rounded to four places, of every text's vector."""
     made = T.table(spark, sf, "documents").select("doc_id", X.hashing_encoder(64)(F.col("text")).alias("v"))
-    return made.select("doc_id", F.size("v").alias("dims"), F.round(K.norm("v"), 4).alias("norm"))
+    digest = F.sha2(F.array_join(F.transform("v", lambda x: F.format_number(x + F.lit(0.0), 4)), ","), 256)
+    return made.select("doc_id", F.size("v").alias("dims"), F.round(K.norm("v"), 4).alias("norm"), digest.alias("components_sha256"))
 
 
 # ---- sizes of the corpus by kind and how often each id was written

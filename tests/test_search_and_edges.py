@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from bitgrove.operators import edges as E
 from bitgrove.operators import reason as R
 from bitgrove.operators import search as S
-from test_kernel import big, vec
+from test_kernel import M, big, signed, vec
 
 
 @pytest.fixture(scope="module")
@@ -57,20 +57,48 @@ def test_knn_join_of_nothing(spark, corpus):
     assert S.knn_join(df, none.withColumnRenamed("entity_id", "query_id"), 3).count() == 0
 
 
-def test_ann_finds_close_codes(spark):
+def brute_top(rows, asked, k):
+    return {(i, e) for i, v in asked for _, e in brute(rows, v, k)}
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_ann_join_finds_neighbours_without_structure(spark, monkeypatch, limit):
+    """Random codes lie far apart, so that nearest and next differ by little: the hardest case for a sketch."""
+    monkeypatch.setattr(S, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(S, "SLAB_ROWS", 150)
+    rng = random.Random(4)
+    rows = [(i, vec(rng, 157)) for i in range(400)]
+    asked = [(i, v) for i, v in rows if i % 8 == 0]
+    df = spark.createDataFrame(rows, "entity_id bigint, hv array<bigint>")
+    q = spark.createDataFrame(asked, "query_id bigint, hv array<bigint>")
+    got = S.ann_join(df, q, 6).collect()
+    want = brute_top(rows, asked, 6)
+    assert len(got) == 300 and len({(r["query_id"], r["rank"]) for r in got}) == 300
+    assert len(want & {(r["query_id"], r["entity_id"]) for r in got}) >= 0.95 * len(want)
+    by_id = dict(rows)
+    assert all(r["distance"] == (big(by_id[r["query_id"]]) ^ big(by_id[r["entity_id"]])).bit_count() for r in got)
+
+
+def test_ann_join_of_few_and_equal_rows(spark):
+    rows = [(i, [7, 9]) for i in range(5)]
+    df = spark.createDataFrame(rows, "entity_id bigint, hv array<bigint>")
+    got = S.ann_join(df, df.withColumnRenamed("entity_id", "query_id"), 3).collect()
+    assert {(r["query_id"], r["rank"], r["entity_id"], r["distance"]) for r in got} == {(q, k + 1, k, 0) for q in range(5) for k in range(3)}
+    assert S.ann_join(df, df.withColumnRenamed("entity_id", "query_id"), 9).count() == 25
+    assert S.ann_join(df.limit(0), df.withColumnRenamed("entity_id", "query_id"), 3).count() == 0
+
+
+def test_band_join_finds_close_codes(spark):
     rng = random.Random(4)
-    rows = [(i, vec(rng, 157)) for i in range(60)]
-    asked = []
-    for i, v in rows:
-        w = list(v)
-        for _ in range(300):
-            k = rng.randrange(157)
-            w[k] ^= 1 << rng.randrange(63)
-        asked.append((i, w))
+    rows = [(i, vec(rng, 157)) for i in range(200)]
+    asked = [(i, [signed(w & M ^ (rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64))) for w in v]) for i, v in rows]  # an eighth of the bits
     df = spark.createDataFrame(rows, "entity_id bigint, hv array<bigint>")
     q = spark.createDataFrame(asked, "query_id bigint, hv array<bigint>")
-    truth = q.select("query_id", F.col("query_id").alias("entity_id"))
-    assert S.recall_at(S.ann_join(df, q, 1), truth, 1).first()["recall"] >= 0.95
+    far = max((big(v) ^ big(w)).bit_count() for (_, v), (_, w) in zip(rows, asked))
+    got = {(r["query_id"], r["entity_id"]): r["distance"] for r in S.band_join(df, q, far).collect()}
+    assert len(got) >= 196 and all(a == b for a, b in got)
+    assert all(d == (big(rows[a][1]) ^ big(asked[a][1])).bit_count() for (a, _), d in got.items())
 
 
 def edges_df(spark, rows):
