@@ -107,6 +107,17 @@ def test_license_templates(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_a_key_phrase_gives_the_label_whatever_stands_around_it(spark):
+    rows = {
+        1: ("MIT License", "mit"), 2: ("see Apache License 2.0 for details", "apache-2.0"), 3: ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"), 4: ("/* SPDX-License-Identifier: CC-BY-SA-4.0 */", "cc-by,cc-by-sa-4.0"),
+        5: ("Mozilla Public License, Version 1.1", "mpl-1.1"), 6: ("BSD 3-Clause", "bsd-3-clause"), 7: ("text (GPLv2)", "gpl-2.0"), 8: ("CC BY 3.0", "cc-by,cc-by-3.0"), 9: ("gnu Lesser General Public License", "gpl,lgpl"),
+        10: ("in x permission is hereby granted, free of charge, y z to deal in the Software without restriction", ""), 11: ("mit einer license of the spdx kind, identifier unknown", ""), 12: ("license mit", ""),
+    }
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == {i: want for i, (_, want) in rows.items()}
+    assert got[1]["score"] == 1.0 and 0 < got[9]["score"] <= 1 and got[12]["score"] == 0.0
+
+
 def test_license_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in license_scan.op10_license_scan(spark, SF).collect():
