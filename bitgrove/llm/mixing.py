@@ -1,10 +1,11 @@
 """Mixing to target weights by soft membership.
 
 A classifier, trained on a bounded sample of a labelled table, gives every document posteriors over
-domains. With tokens n_d, posteriors p_dk and wanted domain totals T_k, rates r_d >= lower (zero or more) minimise
+domains. With tokens n_d, posteriors p_d and wanted domain totals T, rates r_d >= lower (zero or more) minimise
 
-    1/2 sum_k (N / T_k) ((sum_d r_d n_d p_dk - T_k) / N)^2  +  ridge/2 sum_d (n_d / N) (r_d - 1)^2
+    1/2 | W' (sum_d r_d n_d p_d - T) / N |^2  +  ridge/2 sum_d (n_d / N) (r_d - 1)^2
 
+where W W' is the inverse of the posteriors' second moments (so that domains that look alike don't slow it down),
 by accelerated projected gradient. In the metric weighted by n_d / N the gradient of document d needs only its
 own posteriors and the K residuals, so an iteration is one pass over a narrow table (tokens and posteriors) that
 adds up K numbers. A document's rate follows from the list of residuals so far by replaying the steps: nothing is
@@ -13,6 +14,7 @@ kept between passes but those lists, a few numbers each, and a lost task is just
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,9 @@ from .base import arrow_schema, map_arrow, materialise, table
 
 #: Labelled rows that the classifier is trained on at most; hashed features.
 LABELLED, DIMS = 3000, 4096
-RIDGE, TOLERANCE, ITERATIONS = 1e-3, 1e-3, 40
+#: Weight of the pull to a rate of one; the share of its wanted total by which a domain may be off; passes at most.
+RIDGE, TOLERANCE, ITERATIONS = 1e-5, 1e-3, 200
+_log = logging.getLogger(__name__)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -127,13 +131,14 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
 
 @dataclass
 class Plan:
-    """What gives the rate of any document: the matrix that posteriors are weighted by, step, and the residuals of the iterations."""
+    """What gives the rate of any document: the matrix that posteriors are weighted by, step, and the residuals of the iterations; and the totals reached."""
 
     weight: np.ndarray
     step: float
     ridge: float
     lower: float
     residuals: list[np.ndarray]
+    reached: np.ndarray | None = None
 
     def rates(self, posteriors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rate, extrapolated rate where the next residual is to be taken) after the steps so far."""
@@ -167,6 +172,8 @@ def fit_rates(members: DataFrame, shares: np.ndarray | None = None, temper: floa
     """(plan, present totals, wanted totals). shares: wanted share of each domain; None: present shares to the power temper.
 
     keep_all: wanted totals are scaled up until no domain has to shrink. No tokens at all: every rate is 1, or the lower bound.
+    It ends when every domain is within TOLERANCE of its wanted total, or when none moves by a tenth of that any more: then the
+    targets can't be met by these documents, plan.reached has the closest totals found, and the domains that are off are logged.
     """
     def first(n: np.ndarray, p: np.ndarray) -> np.ndarray:
         k = p.shape[1]
@@ -174,7 +181,7 @@ def fit_rates(members: DataFrame, shares: np.ndarray | None = None, temper: floa
 
     sums = _totals(members, first)
     if not len(sums) or not sums[:-1].any():
-        return Plan(np.zeros((1, 1)), 0.0, 0.0, lower, []), np.zeros(1), np.zeros(1)
+        return Plan(np.zeros((1, 1)), 0.0, 0.0, lower, [], np.zeros(1)), np.zeros(1), np.zeros(1)
     k = int(round((np.sqrt(4 * (len(sums) - 1) + 1) - 1) / 2))
     present, gram = sums[:k], sums[k : k + k * k].reshape(k, k)
     total = present.sum()
@@ -186,51 +193,74 @@ def fit_rates(members: DataFrame, shares: np.ndarray | None = None, temper: floa
     root = np.linalg.cholesky(gram / total + 1e-9 * np.eye(k))
     plan = Plan(np.linalg.inv(root).T, 1 / (1 + RIDGE), RIDGE, lower, [])
     goal = wanted / total
+    scale = np.where(goal > 0, goal, 1.0)  # a domain that is to vanish is measured by all tokens
     last = None
-    for _ in range(ITERATIONS):
+    while True:
         def ahead(n: np.ndarray, p: np.ndarray, plan: Plan = plan) -> np.ndarray:
             r, y = plan.rates(p)
             return np.concatenate([(n * y) @ p, (n * r) @ p])
 
         got = _totals(members, ahead) / total
-        off = np.abs(got[k:] / np.maximum(goal, 1e-12) - 1).max()
-        still = last is not None and np.abs(got[k:] - last).max() < TOLERANCE / 10
-        if plan.residuals and (off < TOLERANCE or still):
+        off = np.abs(got[k:] - goal) / scale
+        still = last is not None and (np.abs(got[k:] - last) / scale).max() < TOLERANCE / 10
+        if off.max() < TOLERANCE or still or len(plan.residuals) == ITERATIONS:
             break
         last = got[k:]
         plan.residuals.append((got[:k] - goal) @ plan.weight)
+    plan.reached = got[k:] * total
+    for d in (off >= TOLERANCE).nonzero()[0]:
+        _log.warning("domain %d: %.6g tokens wanted, %.6g reached after %d passes", d, wanted[d], plan.reached[d], len(plan.residuals))
     return plan, present, wanted
 
 
-def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", temper: float = 0.7) -> DataFrame:
-    """(id_col, n_tokens, domain, posteriors, rate) per row of docs, repeated ones too.
+def target_shares(names: list[str], targets: dict[str, float] | None) -> np.ndarray | None:
+    """Wanted shares in the order of names. Domains that targets leaves out are to vanish; unknown ones are an error."""
+    if targets is None:
+        return None
+    if unknown := sorted(set(targets) - set(names)):
+        raise ValueError(f"no such domains: {', '.join(unknown)}; there are {', '.join(names)}")
+    shares = np.array([float(targets.get(n, 0.0)) for n in names])
+    if not np.isfinite(shares).all() or (shares < 0).any() or not shares.sum() > 0:
+        raise ValueError("target weights must be zero or more, and one of them above zero")
+    return shares / shares.sum()
 
-    domain is the most likely one; null text counts as empty: no tokens, the prior as posteriors. Other columns are ignored;
-    an empty table gives no rows.
+
+def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", temper: float = 0.7, targets: dict[str, float] | None = None) -> DataFrame:
+    """(id_col, n_tokens, domain, posteriors, rate, domain_wanted, domain_reached) per row of docs, repeated ones too.
+
+    targets: weight of each domain, by its name in labelled; None: present shares to the power temper. domain is the most likely
+    one, domain_wanted and domain_reached are its token totals over all rows, as wanted and as these rates expect them; null text
+    counts as empty: no tokens, the prior as posteriors. Other columns are ignored; an empty table gives no rows.
     """
     model = train_domains(docs, labelled, id_col, text_col)
+    shares = target_shares(model.names, targets)
     members = materialise(memberships(docs, model, id_col, text_col), "members")
-    plan, _, _ = fit_rates(members, temper=temper)
+    plan, _, wanted = fit_rates(members, shares, temper)
 
     @F.pandas_udf("double")
     def rate(posteriors: pd.Series) -> pd.Series:
         return pd.Series(plan.rates(np.stack(posteriors))[0] if len(posteriors) else [], dtype=float)
 
-    names = F.array(*map(F.lit, model.names))
-    top = F.element_at(names, F.array_position("posteriors", F.array_max("posteriors")).cast("int"))
-    return members.select(id_col, F.col("tokens").alias("n_tokens"), top.alias("domain"), "posteriors", rate("posteriors").alias("rate"))
+    at = F.array_position("posteriors", F.array_max("posteriors")).cast("int")
+    # a value for each domain; a table without tokens has one total for all
+    each = lambda values: F.element_at(F.array(*(F.lit(values[k if len(values) > 1 else 0]) for k in range(len(model.names)))), at)
+    return members.select(
+        id_col, F.col("tokens").alias("n_tokens"), each(model.names).alias("domain"), "posteriors", rate("posteriors").alias("rate"),
+        each([float(x) for x in wanted]).alias("domain_wanted"), each([float(x) for x in plan.reached]).alias("domain_reached"),
+    )
 
 
-def repeat_to_targets(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", temper: float = 0.9) -> DataFrame:
+def repeat_to_targets(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", temper: float = 0.9, targets: dict[str, float] | None = None) -> DataFrame:
     """docs with each row as often as its rate says; columns stay as they are.
 
-    Rates are one or more and totals are scaled up until no domain shrinks: mixing drops no document. The part of a rate
-    behind the point becomes one more copy where a hash of the id is below it.
+    targets as in mix. Rates are one or more and totals are scaled up until no domain shrinks: mixing drops no document (so a domain
+    without a weight keeps its own, which is logged). The part of a rate behind the point becomes one more copy where a hash of the id is below it.
     """
     spark = docs.sparkSession
     model = train_domains(docs, labelled, id_col, text_col)
+    shares = target_shares(model.names, targets)
     members = materialise(memberships(docs, model, id_col, text_col), "members")
-    plan, _, _ = fit_rates(members, temper=temper, lower=1.0, keep_all=True)
+    plan, _, _ = fit_rates(members, shares, temper, lower=1.0, keep_all=True)
     shipped = spark.sparkContext.broadcast((model, plan))
 
     @F.pandas_udf("double")

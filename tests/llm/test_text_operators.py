@@ -247,6 +247,33 @@ def test_projected_gradient_meets_the_targets(spark):
     assert loss(plan.rates(p)[0]) <= loss(x) * 1.1 + 1e-5
 
 
+@pytest.mark.parametrize("share, met", [([0.02, 0.48, 0.5], True), ([0.01, 0.49, 0.5], True), ([0.0005, 0.0005, 0.999], False)])
+def test_small_targets_are_met_relative_to_themselves_or_reported(spark, caplog, share, met):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.05, 0.05, 0.05], 3000)
+    n = rng.integers(1, 500, 3000)
+    members = spark.createDataFrame([(int(k), int(t), q.tolist()) for k, (t, q) in enumerate(zip(n, p))], "doc_id long, tokens long, posteriors array<double>").repartition(4)
+    plan, _, wanted = mixing.fit_rates(members, np.array(share))
+    reached = (n * plan.rates(p)[0]) @ p
+    assert np.allclose(reached, plan.reached)
+    assert (np.abs(reached / wanted - 1).max() < mixing.TOLERANCE) == met
+    assert ("tokens wanted" in caplog.text) == (not met)
+
+
+def test_mixing_to_given_targets(spark):
+    docs = spark.createDataFrame([(i, "der die das und " * 5 if i % 4 == 0 else "the and of to in " * 4) for i in range(400)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "de" if i % 4 == 0 else "en") for i in range(100)], "id long, domain string")
+    rows = mixing.mix(docs, labelled, targets={"de": 3, "en": 1}).collect()
+    total = {d: sum(r["n_tokens"] * r["rate"] * r["posteriors"][k] for r in rows) for k, d in enumerate(("de", "en"))}
+    assert abs(total["de"] / sum(total.values()) - 0.75) < 0.01
+    assert all(abs(r["domain_reached"] / total[r["domain"]] - 1) < 1e-6 and abs(r["domain_reached"] / r["domain_wanted"] - 1) < 0.01 for r in rows)
+    more = mixing.repeat_to_targets(docs, labelled, targets={"de": 1, "en": 1}).groupBy((F.col("doc_id") % 4 == 0).alias("de")).count().collect()
+    assert abs({r["de"]: r["count"] for r in more}[True] / 300 - 1) < 0.1
+    for bad in ({"fr": 1}, {"de": -1, "en": 2}, {"de": 0}, {"de": float("nan")}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, labelled, targets=bad)
+
+
 def test_mixing_odd_tables(spark):
     docs = spark.createDataFrame([(i, "der die das und " * 5 if i % 4 == 0 else "the and of to in " * 5, 0.5) for i in range(200)] + [(900, None, 0.0), (901, "", 0.0), (None, "the", 0.0), (3, "again", 0.0)], "doc_id long, text string, rate double")
     labelled = spark.createDataFrame([(i, "de" if i % 4 == 0 else "en") for i in range(100)] + [(None, "de"), (5, None)], "id long, domain string")
