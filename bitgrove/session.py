@@ -10,11 +10,16 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
+#: Bytes of the Arrow batches that go to Python workers, unless the session says otherwise: rows with whole texts are large,
+#: and a worker holds a batch several times over.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", str(64 << 20), str((1 << 31) - 1))
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Puts the folder that holds the package on the path of workers that start from now on.
+    """Puts the folder that holds the package on the path of workers that start from now on, and bounds their batches.
 
     That is enough where executors see the same folder (a local session, a shared file system); elsewhere the
     package is shipped with --py-files or installed.
@@ -23,6 +28,8 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
+    if spark.conf.get(_BATCH_KEY, None) in (None, *_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     return spark
 
 
