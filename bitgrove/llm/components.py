@@ -46,7 +46,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join what those of a task join, a spanning forest of some million at a time."""
     schema = arrow_schema(LINKS)
     # a bounded number of links at a time, whatever the size of the task
     a, b = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -78,7 +79,7 @@ def _jump(parents: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (columns a, b: long) that is not itself the smallest of its component."""
     spark = links.sparkSession
-    links = materialise(map_arrow(links.select("a", "b").where("a <> b"), _thin, LINKS), "links")
+    links = materialise(map_arrow(links.select("a", "b").where("a <> b"), thin, LINKS), "links")
     found: DataFrame | None = None
     while not links.isEmpty():
         both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a"))
@@ -91,7 +92,7 @@ def components(links: DataFrame) -> DataFrame:
         moved = links.join(to_a, F.col("a") == F.col("_na"), "left").join(to_b, F.col("b") == F.col("_nb"), "left")
         moved = moved.select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b")).where("a <> b")
         moved = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = materialise(map_arrow(moved, _thin, LINKS), "links")
+        links = materialise(map_arrow(moved, thin, LINKS), "links")
     if found is None:
         return spark.createDataFrame([], "node long, component long")
     return found.select("node", F.col("parent").alias("component"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import arrow_schema, grouped, map_arrow, materialise, spread, table
-from .components import LINKS, components, forest
+from .components import LINKS, components, forest, thin
 from .exact_dedup import drop_ids, in_bitmap, keys_bitmap
 
 SEED = 42
@@ -274,7 +274,7 @@ def _links(cells: DataFrame, radius: int, words: int) -> DataFrame:
             if len(a):
                 yield pa.record_batch([pa.array(a), pa.array(b)], schema=shape)
 
-    return map_arrow(cells.select("cell", "node", "fp"), run, LINKS)
+    return map_arrow(cells.select("cell", "node", "fp"), lambda batches: thin(run(batches)), LINKS)
 
 
 def masks_of(keys: list[list[int]], words: int) -> np.ndarray:
@@ -390,7 +390,7 @@ def _similar_links(cells: DataFrame, radius: int, masks: np.ndarray, sets: Calla
     own = sets(some.select("node").distinct())
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = some.join(own, F.col("node") == F.col("id")).drop("id").repartition(tasks, "cell").sortWithinPartitions("cell", "node")
-    return map_arrow(both, compare, LINKS)
+    return map_arrow(both, lambda batches: thin(compare(batches)), LINKS)
 
 
 def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, differ: float | None = None, recall: float = 0.95, sets: Callable[[DataFrame], DataFrame] | None = None, jaccard: float = 0.0) -> DataFrame:
@@ -416,7 +416,8 @@ def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, diffe
     cells = cells.select("cell", "bucket", "chunk", "node", "fp") if sets else cells.select("cell", "node", "fp")
     cells = cells.repartition(tasks, "cell").sortWithinPartitions("cell", "node")
     links = _similar_links(cells, radius, masks_of(keys, bits // 64), sets, jaccard) if sets else _links(cells, radius, bits // 64)
-    labels = components(links)
+    # stored first: a stage that reads and one that thins again would keep twice as many Python workers alive
+    labels = components(materialise(links, "met"))
     found = classes.join(labels, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id"))
     found = materialise(found, "found")
     return fps.join(found, fps["fp"] == found["_fp"], "left").select(id_col, "fp", "component_id")
