@@ -19,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and survives lost executors."""
+def materialise(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there and survives lost executors.
+
+    narrow: rows of a few numbers, made by little work after a shuffle. They go to two files a core at most (16 at least), whatever
+    the number of shuffle partitions: many files of a few kilobytes cost the store, and the executors that make them, more than they save.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(max(16, 2 * spark.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +58,7 @@ def spread(rows: DataFrame, key: str, ident: str, cap: int) -> DataFrame:
     belong to it. Sizes are counted over all rows; the table of hot keys has at most rows/cap entries.
     """
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
-    hot = materialise(hot.select(F.col(key).alias("_k"), F.ceil(F.col("_n") / cap).cast("int").alias("_g")), "hot")
+    hot = materialise(hot.select(F.col(key).alias("_k"), F.ceil(F.col("_n") / cap).cast("int").alias("_g")), "hot", narrow=True)
     if hot.isEmpty():
         return rows.withColumns({"chunk": F.lit(0), "cell": F.xxhash64(key, F.lit(0), F.lit(0))})
     joined = rows.join(hot, rows[key] == hot["_k"], "left").withColumn("_g", F.coalesce("_g", F.lit(1)))

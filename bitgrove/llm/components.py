@@ -69,7 +69,7 @@ def _jump(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("_p"), F.col("parent").alias("_pp"))
         jumped = parents.join(up, parents["parent"] == up["_p"], "left").select("node", F.coalesce("_pp", "parent").alias("parent"), (F.col("_pp").isNotNull() & (F.col("_pp") != F.col("parent"))).alias("_moved"))
-        jumped = materialise(jumped, "jump")
+        jumped = materialise(jumped, "jump", narrow=True)
         moved = not jumped.where("_moved").isEmpty()
         parents = jumped.drop("_moved")
         if not moved:
@@ -79,20 +79,20 @@ def _jump(parents: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (columns a, b: long) that is not itself the smallest of its component."""
     spark = links.sparkSession
-    links = materialise(map_arrow(links.select("a", "b").where("a <> b"), thin, LINKS), "links")
+    links = materialise(map_arrow(links.select("a", "b").where("a <> b"), thin, LINKS), "links", narrow=True)
     found: DataFrame | None = None
     while not links.isEmpty():
         both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a"))
         low = both.groupBy("node").agg(F.min("other").alias("parent")).where("parent < node")
-        roots = _jump(materialise(low, "parents"))
+        roots = _jump(materialise(low, "parents", narrow=True))
         found = roots if found is None else _follow(found, roots).unionAll(roots)
-        found = materialise(found, "labels")
+        found = materialise(found, "labels", narrow=True)
         to_a = roots.select(F.col("node").alias("_na"), F.col("parent").alias("_ra"))
         to_b = roots.select(F.col("node").alias("_nb"), F.col("parent").alias("_rb"))
         moved = links.join(to_a, F.col("a") == F.col("_na"), "left").join(to_b, F.col("b") == F.col("_nb"), "left")
         moved = moved.select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b")).where("a <> b")
         moved = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = materialise(map_arrow(moved, thin, LINKS), "links")
+        links = materialise(map_arrow(moved, thin, LINKS), "links", narrow=True)
     if found is None:
         return spark.createDataFrame([], "node long, component long")
     return found.select("node", F.col("parent").alias("component"))

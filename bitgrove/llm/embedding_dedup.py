@@ -203,7 +203,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     labels = components(found.where("a is not null").select("a", "b")).withColumnRenamed("node", "_ln")
     classes = distinct.select("v", "node", "copies").join(counts, F.col("node") == F.col("_cn"), "left").join(labels, F.col("node") == F.col("_ln"), "left")
     classes = classes.select(F.xxhash64("v", F.lit(1)).alias("_c1"), F.xxhash64("v", F.lit(2)).alias("_c2"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
-    classes = materialise(classes, "classes")
+    classes = materialise(classes, "classes", narrow=True)
     joined = keyed.select("_id", "_h1", "_h2", F.col("_v").isNotNull().alias("_fit")).join(classes, F.col("_fit") & (F.col("_h1") == F.col("_c1")) & (F.col("_h2") == F.col("_c2")), "left")
     return joined.select(
         F.col("_id").alias(id_col), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "_id").alias("component_id"),

@@ -63,7 +63,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = F.unhex(F.sha2(lower_ascii(F.col("_t")), 256))
     hashed = materialise(flagged.select("_id", "_cand", (full if hash_all else F.when(F.col("_cand"), full)).alias("_h")), "exact")
     groups = hashed.where("_cand").groupBy("_h").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    groups = materialise(groups.withColumnRenamed("_h", "_gh"), "groups")
+    groups = materialise(groups.withColumnRenamed("_h", "_gh"), "groups", narrow=True)
     alone = hashed.where(~F.col("_cand")).select("_id", "_h", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"))
     rest = hashed.where("_cand").join(groups, F.col("_h") == F.col("_gh"), "left")
     rest = rest.select("_id", "_h", F.when(F.col("_gh").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_n", F.lit(1)).alias("_n"))
@@ -78,7 +78,7 @@ def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Dat
 
     Only rows whose id may be in dropped, by a bitmap of fixed size, are shuffled with their texts; the others pass as they are read.
     """
-    dropped = materialise(dropped, "dropped")
+    dropped = materialise(dropped, "dropped", narrow=True)
     suspect = in_bitmap(keys_bitmap(dropped, "_drop"), docs[id_col])
     asked = docs.where(suspect)
     return docs.where(~suspect).unionAll(asked.join(dropped, asked[id_col] == dropped["_drop"], "left_anti"))

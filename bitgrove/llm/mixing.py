@@ -87,7 +87,7 @@ def train_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     sample = labelled.where("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain"))
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t"))
     ids = sample.join(docs.select(F.col(id_col).alias("_i")), F.col("id") == F.col("_i"), "left_semi").orderBy(by_hash, "id").limit(LABELLED)
-    ids = materialise(ids, "labelled")
+    ids = materialise(ids, "labelled", narrow=True)
     rows = texts.join(F.broadcast(ids), F.col("_i") == F.col("id")).select("domain", "_t")  # at most LABELLED ids
     schema = "domain string, at array<int>, share array<double>"
 

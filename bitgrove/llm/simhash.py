@@ -402,7 +402,7 @@ def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, diffe
     over cells. sets, if given, gets nodes and gives their sets (id, runs): links are then the pairs met that also have this Jaccard similarity. Rows with a null id form the class of the other rows with their fingerprint, or a class with a null id.
     """
     spark = fps.sparkSession
-    classes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "classes")
+    classes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "classes", narrow=True)
     alone = classes.where("node is not null")
     count = max(1, alone.count())
     if differ is None:
@@ -419,7 +419,7 @@ def near_classes(fps: DataFrame, id_col: str, radius: int, bits: int = 64, diffe
     # stored first: a stage that reads and one that thins again would keep twice as many Python workers alive
     labels = components(materialise(links, "met"))
     found = classes.join(labels, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id"))
-    found = materialise(found, "found")
+    found = materialise(found, "found", narrow=True)
     return fps.join(found, fps["fp"] == found["_fp"], "left").select(id_col, "fp", "component_id")
 
 

@@ -86,7 +86,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> t
     by_hash = F.xxhash64("_i")
     pos = own.where("toxic = 1").select(F.col("doc_id").alias("_i")).orderBy(by_hash, "_i").limit(POSITIVES).withColumn("_p", F.lit(1))
     unl = docs.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_i")).orderBy(by_hash, "_i").limit(UNLABELLED).withColumn("_p", F.lit(0))
-    ids = materialise(pos.unionAll(unl), "sample")
+    ids = materialise(pos.unionAll(unl), "sample", narrow=True)
     rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t"))
     rows = rows.join(F.broadcast(ids), F.col("_d") == F.col("_i")).select("_p", "_t")  # at most POSITIVES + UNLABELLED ids
     schema = "p int, words array<string>"

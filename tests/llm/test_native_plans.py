@@ -13,9 +13,9 @@ SF = "/root/testdata/sf0.001"
 def test_no_python_on_the_way(spark, query, monkeypatch):
     plans = []
 
-    def spy(df, label, write=base.materialise):
+    def spy(df, label, narrow=False, write=base.materialise):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return write(df, label)
+        return write(df, label, narrow)
 
     for module in (exact_dedup, pii):
         monkeypatch.setattr(module, "materialise", spy)
