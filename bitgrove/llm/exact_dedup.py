@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 
 from .base import lower_ascii, materialise
 
-#: Bits of a level's bitmap; 16,384 words of 64 bits, 128 KB whatever the input.
-BITMAP_BITS = 1 << 20
+#: Bits of a level's bitmap; 16,384 words of 64 bits, 128 KB whatever the input. Bits of one that is sized by its keys, at most: 8 MB.
+BITMAP_BITS, MOST_BITS = 1 << 20, 1 << 26
 PREFIX_CHARS = 256
 
 
-def _slot(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS))
+def bits_for(keys: int) -> int:
+    """Bits of a bitmap that lets through one row in eight in error at most, as long as MOST_BITS suffice."""
+    return min(MOST_BITS, max(BITMAP_BITS, 1 << (8 * keys - 1).bit_length()))
+
+
+def _slot(key: tuple[Column, ...], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(bits))
 
 
 def repeated_keys_bitmap(rows: DataFrame, *key: str) -> Column:
@@ -28,17 +33,17 @@ def repeated_keys_bitmap(rows: DataFrame, *key: str) -> Column:
     return keys_bitmap(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), *key)
 
 
-def keys_bitmap(keys: DataFrame, *key: str) -> Column:
-    """A scalar subquery: array<bigint> of BITMAP_BITS bits with the bit of every key set."""
-    slots = keys.select(_slot(*map(F.col, key)).alias("_s"))
+def keys_bitmap(keys: DataFrame, *key: str, bits: int = BITMAP_BITS) -> Column:
+    """A scalar subquery: array<bigint> of so many bits with the bit of every key set."""
+    slots = keys.select(_slot(tuple(map(F.col, key)), bits).alias("_s"))
     words = slots.groupBy(F.shiftright("_s", 6).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_s").bitwiseAND(63).cast("int"))).alias("_b"))
-    every = keys.sparkSession.range(BITMAP_BITS // 64).select(F.col("id").alias("_w"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("_w"))
     dense = every.join(words, "_w", "left").select(F.struct("_w", F.coalesce("_b", F.lit(0)).alias("_b")).alias("_x"))
     return dense.agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["_b"])).scalar()
 
 
-def in_bitmap(bitmap: Column, *key: Column) -> Column:
-    slot = _slot(*key)
+def in_bitmap(bitmap: Column, *key: Column, bits: int = BITMAP_BITS) -> Column:
+    slot = _slot(key, bits)
     return F.bit_get(F.element_at(bitmap, (F.shiftright(slot, 6) + 1).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
 
 
@@ -76,10 +81,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is in dropped (one column, named _drop); columns stay as they are, null ids stay.
 
-    Only rows whose id may be in dropped, by a bitmap of fixed size, are shuffled with their texts; the others pass as they are read.
+    Only rows whose id may be in dropped, by a bitmap sized by its number of ids, are shuffled with their texts; the others pass as they are read.
     """
     dropped = materialise(dropped, "dropped", narrow=True)
-    suspect = in_bitmap(keys_bitmap(dropped, "_drop"), docs[id_col])
+    bits = bits_for(dropped.count())
+    suspect = in_bitmap(keys_bitmap(dropped, "_drop", bits=bits), docs[id_col], bits=bits)
     asked = docs.where(suspect)
     return docs.where(~suspect).unionAll(asked.join(dropped, asked[id_col] == dropped["_drop"], "left_anti"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .base import arrow_schema, grouped, map_arrow, materialise, spread, table
 from .components import LINKS, components, forest, thin
-from .exact_dedup import drop_ids, in_bitmap, keys_bitmap
+from .exact_dedup import bits_for, drop_ids, in_bitmap, keys_bitmap
 
 SEED = 42
 #: Rows of a bucket that one chunk of a hot bucket holds at most, about.
@@ -339,9 +339,11 @@ def similar(i: np.ndarray, j: np.ndarray, values: np.ndarray, offsets: np.ndarra
 def run_sets(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame) -> DataFrame:
     """(id, runs: array<long>): the set of word runs of each document whose id is among nodes (column node, distinct).
 
-    Only such documents are read for their runs: a bitmap of fixed size lets few others through.
+    Only such documents are read for their runs: a bitmap sized by their number lets few others through.
     """
-    near = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(in_bitmap(keys_bitmap(nodes, "node"), F.col("id")))
+    nodes = materialise(nodes, "nodes", narrow=True)
+    bits = bits_for(nodes.count())
+    near = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(in_bitmap(keys_bitmap(nodes, "node", bits=bits), F.col("id"), bits=bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = arrow_schema("id long, runs array<long>")

@@ -318,3 +318,12 @@ def test_embedding_query(spark):
     assert got == plain_embeddings(rows)
     assert embedding_dedup.threshold(0.9, 24, 0.6, 0.985) == 15
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+@pytest.mark.parametrize("bits", [1 << 20, 1 << 23])
+def test_bitmaps_hold_their_keys_at_every_size(spark, bits):
+    keys = spark.range(20_000).select(F.col("id").alias("k"))
+    found = spark.range(40_000).where(exact_dedup.in_bitmap(exact_dedup.keys_bitmap(keys, "k", bits=bits), F.col("id"), bits=bits))
+    ids = {r["id"] for r in found.collect()}
+    assert set(range(20_000)) <= ids and len(ids) - 20_000 < 40_000 * 20_000 / bits
+    assert exact_dedup.bits_for(0) == 1 << 20 and exact_dedup.bits_for(1 << 20) == 1 << 23 and exact_dedup.bits_for(10**12) == exact_dedup.MOST_BITS
