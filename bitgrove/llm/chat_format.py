@@ -17,11 +17,11 @@ import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import arrow_schema, map_arrow, table
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -31,6 +31,8 @@ OPEN, BREAK, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of common templates, escaped in texts as well, so that no reader takes them for marks.
 FOREIGN = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 ESCAPE = "\\"
+#: Rows and characters that leave a worker together, at most.
+SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
 _CONTROL = (OPEN, BREAK, CLOSE, *FOREIGN)
 
 
@@ -114,43 +116,72 @@ def read_back(text: str) -> list[Turn]:
     return out
 
 
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
+    """Conversations one after the other, from rows (conv_id, role, text) in order of conversation and turn."""
+    key, turns = None, []
+    for batch in batches:
+        for conv, role, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if turns and conv != key:
+                yield key, turns
+                turns = []
+            key = conv
+            turns.append((role, text))
+    if turns:
+        yield key, turns
+
+
+def _batches(rows: Iterator[tuple[int, tuple]], schema: str) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows (characters, values), each of SLICE_ROWS and SLICE_CHARS at most, but one row at least."""
+    shape = arrow_schema(schema)
+    held, size = [], 0
+    for chars, values in rows:
+        if held and (len(held) >= SLICE_ROWS or size + chars > SLICE_CHARS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), shape)], schema=shape)
+            held, size = [], 0
+        held.append(values)
+        size += chars
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), shape)], schema=shape)
+
+
 def format_conversations(rows: DataFrame, make: Template = template) -> DataFrame:
     """One row per conversation: conv_id, formatted, turn_spans, text_spans, roles, rewrites_at.
 
     rows: conv_id, turn, role, text. Turns are ordered by turn (null first), then role, then text; repeated rows are
     turns of their own; null role or text counts as empty; rows with a null conv_id are one conversation.
     Other columns are ignored; an empty table gives no rows. Spans are arrays of starts and ends, in code points.
+    A task holds one conversation at a time.
     """
     schema = "conv_id long, formatted string, turn_spans array<long>, text_spans array<long>, roles array<string>, rewrites_at long"
+    flat = lambda spans: [x for s in spans for x in s]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
-        turns = list(zip(pdf["role"], pdf["text"]))
+    def one(conv: int | None, turns: list[Turn]) -> tuple[int, tuple]:
         made = render(turns, make)
-        flat = lambda spans: [x for s in spans for x in s]
-        out = {"conv_id": pdf["conv_id"].iloc[:1].to_list(), "formatted": [made.text], "turn_spans": [flat(made.turns)], "text_spans": [flat(made.texts)], "roles": [[r for r, _ in turns]], "rewrites_at": [made.rewrites_at]}
-        return pd.DataFrame(out).astype({"conv_id": "Int64", "rewrites_at": "Int64"})
+        return len(made.text), (conv, made.text, flat(made.turns), flat(made.texts), [r for r, _ in turns], made.rewrites_at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches((one(conv, turns) for conv, turns in _conversations(batches)), schema)
 
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"))
-    return own.groupBy("conv_id").applyInPandas(run, schema)
+    ordered = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return map_arrow(ordered.select("conv_id", "role", "text"), run, schema)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read from the formatted text and its spans."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for conv, text, spans in zip(pdf["conv_id"], pdf["formatted"], pdf["text_spans"]):
-                turns = read_back(text)
-                loss = "".join(unescape(text[a:b]) for (role, _), a, b in zip(turns, spans[::2], spans[1::2]) if role == "assistant")
-                told = "".join(f"{role}\n{said}\n" for role, said in turns)
-                out.append((conv, len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
-
-    return formatted.select("conv_id", "formatted", "text_spans").mapInPandas(run, schema)
+    def one(conv: int | None, text: str, spans: list[int]) -> tuple[int, tuple]:
+        turns = read_back(text)
+        loss = "".join(unescape(text[a:b]) for (role, _), a, b in zip(turns, spans[::2], spans[1::2]) if role == "assistant")
+        told = "".join(f"{role}\n{said}\n" for role, said in turns)
+        return 0, (conv, len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches((one(*row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), schema)
+
+    return map_arrow(formatted.select("conv_id", "formatted", "text_spans"), run, schema)
 
 
 def op3_chat_format(spark, sf_dir: str) -> DataFrame:
