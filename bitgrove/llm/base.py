@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialise(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and survives lost executors.
 
-    narrow: rows of a few numbers, made by little work after a shuffle. They go to two files a core at most (16 at least), whatever
-    the number of shuffle partitions: many files of a few kilobytes cost the store, and the executors that make them, more than they save.
+    narrow: rows of a few numbers, made by little work after a shuffle. They go to an eighth of the shuffle partitions, or two files a
+    core if that is more (16 at least): many files of a few kilobytes cost the store, and the executors that make them, more than they save.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    (df.coalesce(max(16, 2 * spark.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
+    if narrow:
+        df = df.coalesce(max(16, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
