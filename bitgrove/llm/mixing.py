@@ -89,7 +89,7 @@ def train_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     ids = sample.join(docs.select(F.col(id_col).alias("_i")), F.col("id") == F.col("_i"), "left_semi").orderBy(by_hash, "id").limit(LABELLED)
     ids = materialise(ids, "labelled", narrow=True)
     rows = texts.join(F.broadcast(ids), F.col("_i") == F.col("id")).select("domain", "_t")  # at most LABELLED ids
-    schema = "domain string, at array<int>, share array<double>"
+    schema = "domain string, at binary, share binary"  # as numbers in rows they would take ten times the memory here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,18 +97,18 @@ def train_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
             for t in batch.column(1):
                 share = features(t.as_py())
                 at = share.nonzero()[0]
-                ats.append(at.tolist())
-                shares.append(share[at].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ats, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))], schema=arrow_schema(schema))
+                ats.append(at.astype("<i4").tobytes())
+                shares.append(share[at].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ats, pa.binary()), pa.array(shares, pa.binary())], schema=arrow_schema(schema))
 
     found = map_arrow(rows, run, schema).collect()
-    found.sort(key=lambda r: (r["domain"], r["at"], r["share"]))
+    found.sort(key=lambda r: (r["domain"], bytes(r["at"]), bytes(r["share"])))
     names = sorted({r["domain"] for r in found}) or ["all"]
     if len(names) == 1:
         return DomainModel(names, np.zeros((DIMS, 1)), np.zeros(1))
     x = np.zeros((len(found), DIMS), np.float32)
     for k, r in enumerate(found):
-        x[k, r["at"]] = r["share"]
+        x[k, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["share"], "<f4")
     number = {n: k for k, n in enumerate(names)}
     return DomainModel(names, *fit_softmax(x, np.array([number[r["domain"]] for r in found]), len(names)))
 
