@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,6 +100,26 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> t
     return materialise(map_arrow(rows, run, schema), "words"), min(0.9, max(1e-3, rate or 0.0))
 
 
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, n_pos, n_unl) from (p, words): how many rows of a task have each feature; a feature counts once a row."""
+    shape = arrow_schema("f string, n_pos long, n_unl long")
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def told() -> pa.RecordBatch:
+        names = list({**counts[1], **counts[0]})
+        made = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[p][f] for f in names], pa.int64()) for p in (1, 0))], schema=shape)
+        for c in counts:
+            c.clear()
+        return made
+
+    for batch in batches:
+        for p, words in zip(*(c.to_pylist() for c in batch.columns)):
+            counts[p].update({f for w in words or [] for f in features_of(w)})
+            if len(counts[0]) + len(counts[1]) > REMEMBERED:
+                yield told()
+    yield told()
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float]:
     """Feature weights and bias. No confirmed positive among the training rows: no weights, and a score below one half for all.
 
@@ -108,11 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return {}, -2.0
-    word = F.col("w")
-    feats = F.array(word, *(F.when(F.length("w") >= n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in STEMS))
-    rows = sample.select("p", F.monotonically_increasing_id().alias("r"), F.explode("words").alias("w"))
-    pairs = rows.select("p", F.explode(feats).alias("f"), "r").where("f is not null").distinct()
-    share = materialise(pairs.groupBy("f").agg((F.sum("p") / sizes[1]).alias("in_p"), (F.sum(1 - F.col("p")) / sizes[0]).alias("in_u"), F.sum("p").alias("n")), "share")
+    counted = map_arrow(sample.select("p", "words"), _count_features, "f string, n_pos long, n_unl long")
+    share = counted.groupBy("f").agg((F.sum("n_pos") / sizes[1]).alias("in_p"), (F.sum("n_unl") / sizes[0]).alias("in_u"), F.sum("n_pos").alias("n"))
+    share = materialise(share, "share")
     # a feature speaks for the class if positives have it at least twice as often as text at large, by
     # more than three standard deviations of the share that chance would give it; the gain ranks them
     lift = F.col("in_p") - 2 * F.col("in_u")
