@@ -280,7 +280,7 @@ class Boosted:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(x.shape[1])]
-        code = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1)
+        code = [np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]
         p = min(1 - 1e-6, max(1e-6, y.mean()))
         self.start = math.log(p / (1 - p))
         margin = np.full(len(y), self.start)
@@ -291,20 +291,21 @@ class Boosted:
             feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
             at = np.zeros(len(y), np.int64)
             for level in range(self.depth):
-                first = (1 << level) - 1
-                for node in range(first, 2 * first + 1):
-                    mine = (at == node).nonzero()[0]
-                    if len(mine) < 20:
+                first, wide = (1 << level) - 1, 1 << level
+                here = at - first
+                n, g, h = (np.bincount(here, v, wide) for v in (None, grad, hess))
+                best = np.full(wide, 1e-6)
+                for f, c in enumerate(cuts):
+                    if not len(c):
                         continue
-                    best, g, h = 1e-6, grad[mine].sum(), hess[mine].sum()
-                    for f, c in enumerate(cuts):
-                        if not len(c):
-                            continue
-                        gs = np.bincount(code[mine, f], grad[mine], len(c) + 1).cumsum()[:-1]
-                        hs = np.bincount(code[mine, f], hess[mine], len(c) + 1).cumsum()[:-1]
-                        gain = gs**2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g**2 / (h + 1)
-                        if gain[k := int(gain.argmax())] > best:
-                            best, feature[node], cut[node] = gain[k], f, c[k]
+                    # sums of all nodes of the level at once: a row a node, a column a bin
+                    slot = here * (len(c) + 1) + code[f]
+                    gs, hs = (np.bincount(slot, v, wide * (len(c) + 1)).reshape(wide, -1).cumsum(axis=1)[:, :-1] for v in (grad, hess))
+                    gain = gs**2 / (hs + 1) + (g[:, None] - gs) ** 2 / (h[:, None] - hs + 1) - (g**2 / (h + 1))[:, None]
+                    k = gain.argmax(axis=1)
+                    top = gain[np.arange(wide), k]
+                    better = (n >= 20) & (top > best)
+                    best[better], feature[first:][:wide][better], cut[first:][:wide][better] = top[better], f, c[k[better]]
                 at = 2 * at + 1 + (x[np.arange(len(x)), feature[at]] > cut[at])
             leaf = at - inner
             g, h = np.bincount(leaf, grad, 1 << self.depth), np.bincount(leaf, hess, 1 << self.depth)
