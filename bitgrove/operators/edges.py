@@ -7,11 +7,16 @@ highest seq counts. Every operator keeps the pair as join key; compat_xor_key re
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernel as K
+from ..session import settled
+
+#: Edges that a hop of data-driven chains broadcasts at most; hops that are planned before a walk is written.
+BROADCAST_EDGES, PLANNED_HOPS = 100_000, 8
 
 
 def latest_edges(edges: DataFrame, compat_xor_key: bool = False) -> DataFrame:
@@ -92,21 +97,29 @@ def chain(starts: DataFrame, relations: Sequence[int], edges: DataFrame, path: b
 def chain_recursive(chains: DataFrame, edges: DataFrame) -> DataFrame:
     """Data-driven chains: chains (query_id, entity_id, relations array<bigint>) -> (query_id, entity_id, depth) of those that end.
 
-    A recursive common table expression: as many joins as the longest list, planned by the engine.
+    One equi-join a hop, as many as the longest list has; a recursive table expression would stop at spark.sql.cteRecursionRowLimit.
+    Each hop meets the edges of the relations that stand at its place in some list; few of those are broadcast. Walks are
+    written where some end, and every few hops, so that neither the plan nor repeated work grows with the lists.
     """
     spark = chains.sparkSession
-    chains.createOrReplaceTempView("_bitgrove_chains")
-    latest_edges(edges).createOrReplaceTempView("_bitgrove_edges")
-    return spark.sql("""
-        WITH RECURSIVE walk(query_id, relations, entity_id, depth) AS (
-            SELECT query_id, relations, entity_id, 0 FROM _bitgrove_chains
-            UNION ALL
-            SELECT w.query_id, w.relations, e.object_id, w.depth + 1
-            FROM walk w JOIN _bitgrove_edges e ON e.subject_id = w.entity_id AND e.relation_id = w.relations[w.depth]
-            WHERE w.depth < size(w.relations)
-        )
-        SELECT query_id, entity_id, depth FROM walk WHERE depth = size(relations)
-    """)
+    walk = chains.select("query_id", "entity_id", F.col("relations").alias("rest")).where(F.col("rest").isNotNull())
+    lengths = {r["n"] for r in walk.select(F.size("rest").alias("n")).distinct().collect()}
+    asked = settled(walk.select(F.posexplode("rest").alias("place", "relation_id")).distinct(), "asked")
+    latest = settled(latest_edges(edges.join(asked.select("relation_id").distinct(), "relation_id", "left_semi")), "edges")
+    sizes = {r["place"]: r["count"] for r in latest.join(asked, "relation_id").groupBy("place").count().collect()}
+    ended = [walk.where(F.size("rest") == 0).select("query_id", "entity_id", F.lit(0).alias("depth"))] if 0 in lengths or not lengths else []
+    for depth in range(1, max(lengths, default=0) + 1):
+        own = latest.join(asked.where(F.col("place") == depth - 1), "relation_id", "left_semi")
+        step = own.select(F.col("subject_id").alias("_from"), F.col("relation_id").alias("_over"), F.col("object_id").alias("_to"))
+        step = F.broadcast(step) if sizes.get(depth - 1, 0) <= BROADCAST_EDGES else step
+        joined = walk.where(F.size("rest") > 0).join(step, (F.col("entity_id") == F.col("_from")) & (F.get("rest", F.lit(0)) == F.col("_over")))
+        walk = joined.select("query_id", F.col("_to").alias("entity_id"), F.slice("rest", F.lit(2), F.size("rest") - 1).alias("rest"))
+        more = depth < max(lengths)
+        if more and (depth in lengths or depth % PLANNED_HOPS == 0):
+            walk = settled(walk, "walk")
+        if depth in lengths:
+            ended.append(walk.where(F.size("rest") == 0).select("query_id", "entity_id", F.lit(depth).alias("depth")))
+    return reduce(DataFrame.unionAll, ended)
 
 
 def chain_intersection(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -136,6 +136,17 @@ def test_recursive_chain_and_expansion(spark):
     assert len(seeds) == 1 and {seeds[0]["rel1"], seeds[0]["rel2"]} == {5, 6}
 
 
+def test_recursive_chain_of_many_rows_and_long_lists(spark):
+    """A recursive table expression stops at 1,000,000 rows."""
+    e = edges_df(spark, [(i, 7, (i + 1) % 5) for i in range(5)])
+    many = spark.range(300_000).select(F.col("id").alias("query_id"), (F.col("id") % 5).alias("entity_id"), F.array(*[F.lit(7).cast("bigint")] * 3).alias("relations"))
+    got = E.chain_recursive(many, e)
+    assert got.where((F.col("entity_id") == (F.col("query_id") + 3) % 5) & (F.col("depth") == 3)).count() == got.count() == 300_000
+    lists = spark.createDataFrame([(1, 0, [7] * 20), (1, 0, [7] * 20), (2, 3, []), (3, 0, [7, 8]), (4, 0, None), (5, 1, [7, None]), (6, 9, [7])], "query_id bigint, entity_id bigint, relations array<bigint>")
+    got = sorted(tuple(r) for r in E.chain_recursive(lists, e).select("query_id", "entity_id", "depth").collect())
+    assert got == [(1, 0, 20), (1, 0, 20), (2, 3, 0)]
+
+
 def test_analogy_is_exact_on_symbols(spark):
     rng = random.Random(6)
     france, england, europe, capital = (vec(rng, 157) for _ in range(4))
