@@ -1,21 +1,23 @@
 """Personal data: base spans by pattern, then information-theoretic sanitisation of revealing terms.
 
 Protected entities are the values of the base spans. A term t reveals an entity e as far as the corpus says so: with
-p(.) as shares of all documents and p(t|e) as the share of e's texts that have t beside it, log2(p(t|e) / p(t)) over the
+p(.) as shares of all documents and p(t|e) as the share of e's texts that have t anywhere, log2(p(t|e) / p(t)) over the
 entity's own information -log2 p(e) is the share of the entity that the term discloses (1: whoever reads the term
 knows the entity; 0: they are independent). Terms at or above REMOVE are removed, those at or above GENERALISE are
 replaced by their class, wherever they stand.
 
-Beside an entity means in its passage: PASSAGE characters on either side of its first mention in a text. Two rules keep
-chance out. Copies of one passage are one testimony, not many: passages of an entity that share half of their runs of
-three words or more are joined (min-hashes in bands, then labels passed along), and a pair of entity and term needs
-MIN_CONTEXTS testimonies. And the pair must be beyond chance: were t strewn over the texts, the probability of meeting it in so
-many of e's testimonies (Chernoff's bound) must stay below CHANCE for all pairs tested together.
+A text speaks for an entity as a whole: all of its words count, wherever the entity stands and however often. Two rules keep
+chance out. Copies of one passage (PASSAGE characters on either side) are one testimony, not many: texts in which any two passages
+of the entity share half of their runs of three words or more are joined (min-hashes in bands, then labels passed along), and so
+are, for a term that passes, texts in which passages of the term do; a pair of entity and term needs MIN_CONTEXTS testimonies. And
+the pair must be beyond chance: were t strewn over the texts, the probability of meeting it in so many of e's testimonies
+(Chernoff's bound) must stay below CHANCE for all pairs tested together.
 
 Only DataFrame functions. Pass one finds base spans; entities of MIN_CONTEXTS texts or more are known. Pass two
-takes the passages of the known from the documents that hold them; what is counted is pairs of entity and term, a row
-for each task. Pass three counts the documents that hold each candidate term, pass four places the terms that
-disclose; bitmaps of bounded size pick the rows and words of each pass.
+takes the passages of the known from the documents that hold them, pass three the words of the texts of those with testimonies
+enough; what is counted is pairs of entity and term, a row for each task. Pass four counts the documents that hold each candidate
+term, pass five takes the passages of the terms that pass, pass six places the terms that disclose; bitmaps of bounded size pick
+the rows and words of each pass.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ PATTERNS = {
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
-#: Characters on either side of an entity that make its passage; testimonies that a pair must have.
+#: Characters on either side of an entity or term that make its passage; testimonies that a pair must have.
 PASSAGE, MIN_CONTEXTS = 300, 3
 #: Words of a run; bands of min-hashes and min-hashes of a band: passages that share half of their runs meet in a band with a
 #: probability of 0.986, those that share a fifth with 0.23, a tenth with 0.03. Rounds in which labels are passed on.
@@ -150,19 +152,23 @@ def entity_of(span: Column) -> Column:
     return F.concat_ws(":", span["rank"].cast("string"), F.lower(span["value"]))
 
 
-def passages(text: Column, spans: Column) -> Column:
-    """array<struct<entity, start, tokens>>: for each span the words of its passage, lower-cased, a bar where the span stands.
+def beside(text: Column, start: Column, end: Column) -> Column:
+    """array<string>: the words of the passage of a span, lower-cased, a bar where the span stands.
     Tokens with digits or @ and words cut at the passage's ends are left out."""
+    left = F.substring(text, F.greatest(start - PASSAGE + 1, F.lit(1)), F.least(start, F.lit(PASSAGE)))
+    right = F.substring(text, end + 1, F.lit(PASSAGE))
+    whole_left = F.when(start > PASSAGE, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
+    whole_right = F.when(F.length(right) == PASSAGE, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
+    return F.concat(tokens(whole_left), F.array(F.lit("|")), tokens(whole_right))
+
 
-    def around(s: Column) -> Column:
-        left = F.substring(text, F.greatest(s["start"] - PASSAGE + 1, F.lit(1)), F.least(s["start"], F.lit(PASSAGE)))
-        right = F.substring(text, s["end"] + 1, F.lit(PASSAGE))
-        whole_left = F.when(s["start"] > PASSAGE, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-        whole_right = F.when(F.length(right) == PASSAGE, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
-        tokens = lambda side: F.filter(F.split(lower_ascii(side), r"\s+"), lambda w: w.rlike(r"^[^@0-9]+$"))
-        return F.struct(entity_of(s).alias("entity"), s["start"].alias("start"), F.concat(tokens(whole_left), F.array(F.lit("|")), tokens(whole_right)).alias("tokens"))
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(lower_ascii(text), r"\s+"), lambda w: w.rlike(r"^[^@0-9]+$"))
 
-    return F.transform(spans, around)
+
+def passages(text: Column, spans: Column) -> Column:
+    """array<struct<entity, tokens>>: the unlike passages of each entity among the spans."""
+    return F.array_distinct(F.transform(spans, lambda s: F.struct(entity_of(s).alias("entity"), beside(text, s["start"], s["end"]).alias("tokens"))))
 
 
 def bands(tokens: Column) -> Column:
@@ -172,11 +178,12 @@ def bands(tokens: Column) -> Column:
     return let(least, lambda m: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(m, b * ROWS + 1, F.lit(ROWS)))))
 
 
-def testimonies(own: DataFrame) -> DataFrame:
-    """(id, label) of rows (id, entity, tokens), id: distinct longs: rows of one entity whose tokens are near copies get one label."""
+def testimonies(own: DataFrame, alike: DataFrame | None = None) -> DataFrame:
+    """(id, label) of rows (id, entity, tokens), ids: longs, one row or more for each: those of one entity with tokens that are near
+    copies get one label. alike: (id, _k), ids with an equal _k get one label too."""
     shared = own.select("id", "entity", F.explode(bands(F.col("tokens"))).alias("_b")).select("id", F.xxhash64("entity", "_b").alias("_k"))
-    shared = materialise(shared, "bands", narrow=True)
-    labels = own.select("id", F.col("id").alias("label"))
+    shared = materialise(shared if alike is None else shared.unionAll(alike), "bands", narrow=True)
+    labels = own.select("id", F.col("id").alias("label")).distinct()
     for _ in range(ROUNDS):
         least = shared.join(labels, "id").groupBy("_k").agg(F.min("label").alias("label"))
         labels = materialise(shared.join(least, "_k").groupBy("id").agg(F.min("label").alias("label")), "testimonies", narrow=True)
@@ -196,29 +203,46 @@ def disclosing_terms(docs: DataFrame, based: DataFrame) -> DataFrame:
     holders = keys_bitmap(having.distinct(), "_x", bits=wide)
     asked = docs.select(F.xxhash64("_t").alias("_x"), "_t").where(in_bitmap(holders, F.col("_x"), bits=wide))
     found = asked.select("_x", F.explode(passages(F.col("_t"), base_spans(F.col("_t")))).alias("p")).where(in_bitmap(known, F.col("p.entity"), bits=bits))
-    found = found.select("_x", "p.entity", F.struct("p.start", "p.tokens").alias("p"))
-    # one passage for each entity and text: its first mention
-    own = found.groupBy("entity", "_x").agg(F.min("p").alias("p")).select(F.xxhash64("entity", "_x").alias("id"), "entity", "p.tokens")
+    # every unlike passage of an entity in a text
+    own = found.select(F.xxhash64("p.entity", "_x").alias("id"), F.col("p.entity").alias("entity"), "_x", F.col("p.tokens").alias("tokens")).distinct()
     own = materialise(own, "passages")
-    told = own.select("id", "entity", term_words(F.array_join("tokens", " ")).alias("words")).join(testimonies(own), "id")
+    told = own.select("id", "entity", "_x").distinct().join(testimonies(own), "id")
     apart = told.groupBy("entity").agg(F.countDistinct("label").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
     apart = materialise(apart, "apart", narrow=True)
-    several = keys_bitmap(apart.select("entity"), "entity")
-    pairs = told.where(in_bitmap(several, F.col("entity"))).select("entity", "label", F.explode(F.array_distinct("words")).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("label").alias("n_both")).where(F.col("n_both") >= MIN_CONTEXTS)
+    told = materialise(told.join(apart.select("entity"), "entity", "left_semi"), "told", narrow=True)
+    several = keys_bitmap(told.select("_x").distinct(), "_x")
+    # all words of the whole texts of these
+    speaking = asked.where(in_bitmap(several, F.col("_x")))
+    heard = speaking.select("_x", F.explode(F.array_distinct(term_words(F.array_join(tokens(F.col("_t")), " ")))).alias("term")).join(told.select("_x", "entity", "label"), "_x")
+    pairs = heard.groupBy("entity", "term").agg(F.countDistinct("label").alias("n_both")).where(F.col("n_both") >= MIN_CONTEXTS)
     pairs = materialise(pairs, "pairs", narrow=True)
     bitmap = keys_bitmap(pairs.select(F.col("term").alias("_k")).distinct(), "_k")
     words = docs.select(F.explode(F.array_distinct(term_words(F.col("_t")))).alias("term")).where(in_bitmap(bitmap, F.col("term")))
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total, tested = docs.agg(F.count(F.lit(1)).cast("double")).scalar(), pairs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    joined = pairs.join(entities.select("entity", "n_entity"), "entity").join(apart, "entity").join(counts, "term").where(F.col("n_entity") < total)
-    given = F.col("n_both") / F.col("contexts")
-    base = F.greatest(F.col("n_term"), given * F.col("n_entity")) / total
-    scored = joined.select("term", "contexts", given.alias("given"), base.alias("base"), (F.log2(given / base) / F.log2(total / F.col("n_entity"))).alias("share"))
-    missed = 1 - F.col("given")
-    information = F.col("given") * F.log(F.col("given") / F.col("base")) + F.when(missed > 0, missed * F.log(missed / F.greatest(1 - F.col("base"), F.lit(1e-12)))).otherwise(F.lit(0.0))
-    sure = scored.where((F.col("given") > F.col("base")) & (F.col("contexts") * information >= F.log(tested / F.lit(CHANCE))) & (F.col("share") >= GENERALISE))
-    return materialise(sure.groupBy("term").agg(F.max("share").alias("share")), "terms", narrow=True)
+    known_pairs = pairs.join(entities.select("entity", "n_entity"), "entity").join(apart, "entity").join(counts, "term").where(F.col("n_entity") < total)
+
+    def sure(joined: DataFrame) -> DataFrame:
+        given = F.col("n_both") / F.col("contexts")
+        base = F.greatest(F.col("n_term"), given * F.col("n_entity")) / total
+        scored = joined.withColumns({"given": given, "base": base, "share": F.log2(given / base) / F.log2(total / F.col("n_entity"))})
+        missed = 1 - F.col("given")
+        information = F.col("given") * F.log(F.col("given") / F.col("base")) + F.when(missed > 0, missed * F.log(missed / F.greatest(1 - F.col("base"), F.lit(1e-12)))).otherwise(F.lit(0.0))
+        return scored.where((F.col("given") > F.col("base")) & (F.col("contexts") * information >= F.log(tested / F.lit(CHANCE))) & (F.col("share") >= GENERALISE))
+
+    likely = materialise(sure(known_pairs).drop("given", "base", "share"), "likely", narrow=True)
+    # what was copied far from the entity is one testimony as well: passages of the likely terms
+    chosen = keys_bitmap(likely.select(F.col("term").alias("_k")).distinct(), "_k")
+    placed = speaking.select("_x", "_t", F.explode(matches(lower_ascii(F.col("_t")), F.lit(TERM))).alias("m")).where(in_bitmap(chosen, F.col("m.value")))
+    around = placed.select("_x", F.col("m.value").alias("term"), beside(F.col("_t"), F.col("m.start"), F.col("m.start") + F.length("m.value")).alias("tokens")).distinct()
+    mine = around.join(told.select("_x", "entity", "label"), "_x").join(likely.select("entity", "term"), ["entity", "term"], "left_semi")
+    mine = mine.select(F.xxhash64("entity", "term", "_x").alias("id"), F.struct("entity", "term").alias("entity"), "label", "tokens")
+    mine = materialise(mine, "term-passages")
+    alike = mine.select("id", F.xxhash64("entity", "label", F.lit(0)).alias("_k")).distinct()
+    apart_too = mine.select("id", "entity").distinct().join(testimonies(mine.select("id", "entity", "tokens"), alike), "id")
+    n_both = apart_too.groupBy("entity").agg(F.countDistinct("label").alias("n_both")).where(F.col("n_both") >= MIN_CONTEXTS).select("entity.entity", "entity.term", "n_both")
+    last = sure(likely.drop("n_both").join(n_both, ["entity", "term"]))
+    return materialise(last.groupBy("term").agg(F.max("share").alias("share")), "terms", narrow=True)
 
 
 def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:

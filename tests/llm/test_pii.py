@@ -133,6 +133,18 @@ def test_a_term_far_from_the_entity_is_found_and_edited_copies_are_one_testimony
     assert terms_in(spark, rows) == {"farawaylu"}
 
 
+def test_terms_anywhere_in_a_text_and_beside_any_mention_are_found(spark):
+    rng = random.Random(9)
+    words = lambda n: [rng.choice(FILLER) for _ in range(n)]
+    rows = [(i, " ".join(words(60))) for i in range(400)]
+    rows += [(1000 + i, " ".join([*words(20), "fb@mail.example.com", *words(200), "Outerwindow", *words(30)])) for i in range(6)]
+    rows += [(2000 + i, " ".join(["sc@mail.example.com", *words(150), "sc@mail.example.com", "Secondmention", *words(90)])) for i in range(6)]
+    # one paragraph copied to the far ends of unlike texts is one testimony
+    copied = [*words(50), "copiedfar", *words(50)]
+    rows += [(3000 + i, " ".join([*words(20), "cp@mail.example.com", *words(200), *copied])) for i in range(6)]
+    assert terms_in(spark, rows) == {"outerwindow", "secondmention"}
+
+
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
